@@ -116,7 +116,7 @@ def permutation_neighbours(
     pivots: int | None = None,
     posts: int = 3,
     prefix: int = 8,
-    candidates: int = 64,
+    candidates: int = 256,
     seed: int = 0,
 ) -> DataFrame:
     """(id, neighbour, cosine): for each id with a usable vector its ``k`` most similar other ids.
