@@ -83,8 +83,26 @@ def search_file(ids: np.ndarray, x: np.ndarray, perm: np.ndarray, k: int, candid
     return (np.concatenate(qs), np.concatenate(ds), np.concatenate(cs)) if qs else (np.zeros(0, int),) * 3
 
 
+def short_ids(ids: list[str]) -> pa.Array:
+    """Ids as bytes: hexadecimal ones take half their length, any others theirs; a first byte tells them apart."""
+
+    def short(i: str) -> bytes:
+        try:
+            b = bytes.fromhex(i)
+        except ValueError:
+            return b"\0" + i.encode()
+        return b"\1" + b if b.hex() == i else b"\0" + i.encode()
+
+    return pa.array([short(i) for i in ids], pa.binary())
+
+
+def long_ids(ids: list[bytes]) -> list[str]:
+    """The ids that :func:`short_ids` shortened."""
+    return [i[1:].hex() if i[0] else i[1:].decode() for i in ids]
+
+
 def post(vectors: DataFrame, pivots: np.ndarray, posts: int, prefix: int, dim: int) -> DataFrame:
-    """(file, id, vec, perm): each vector in the inverted files of its ``posts`` nearest pivots, with its pivot order."""
+    """(file, id, vec, perm): each vector in the inverted files of its ``posts`` nearest pivots, with its pivot order; see :func:`short_ids`."""
     sent = vectors.sparkSession.sparkContext.broadcast(pivots)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,11 +111,11 @@ def post(vectors: DataFrame, pivots: np.ndarray, posts: int, prefix: int, dim: i
                 continue
             raw = matrix(batch.column("vec"), dim)
             perm = orders(unit(raw), sent.value, prefix)
-            ids, vecs, perms = batch.column("id"), pa.array(pack(raw), pa.binary()), pa.array([r.tobytes() for r in perm], pa.binary())
+            ids, vecs, perms = short_ids(batch.column("id").to_pylist()), pa.array(pack(raw), pa.binary()), pa.array([r.tobytes() for r in perm], pa.binary())
             for t in range(min(posts, perm.shape[1])):
                 yield pa.RecordBatch.from_arrays([pa.array(perm[:, t].astype(np.int32)), ids, vecs, perms], names=["file", "id", "vec", "perm"])
 
-    return vectors.select("id", "vec").mapInArrow(run, "file int, id string, vec binary, perm binary")
+    return vectors.select("id", "vec").mapInArrow(run, "file int, id binary, vec binary, perm binary")
 
 
 def crowded_copies(vectors: DataFrame, rows: int, least: int = 1000, share: int = 1000) -> DataFrame:
@@ -154,25 +172,29 @@ def permutation_neighbours(
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        ids = np.array(table.column("id").to_pylist(), dtype=object)
+        file = table.column("file")[0].as_py()
+        ids = np.array(long_ids(table.column("id").to_pylist()), dtype=object)
         key = np.array([f"{i}\0{v!r}" for i, v in zip(ids, table.column("vec").to_pylist())], dtype=object) if len(set(ids)) < len(ids) else ids
-        at = np.sort(np.unique(key, return_index=True)[1])
+        at = np.unique(key, return_index=True)[1]
         at = at[np.argsort(ids[at], kind="stable")]
         part = table.take(pa.array(at))
         x = unit(unpack(part.column("vec").combine_chunks(), dim))
         perm = np.frombuffer(b"".join(part.column("perm").to_pylist()), np.int16).reshape(len(at), -1)
         names = ids[at]
         q, d, c = search_file(names, x, perm, k + int(len(key) != len(at)), candidates, least_cosine)
-        keep = names[q] != names[d]
+        # a pair that meets in several files counts in the first that both are posted in
+        both = (perm[q][:, :posts, None] == perm[d][:, None, :posts]).any(2)
+        first = perm[q][np.arange(len(q)), both.argmax(1)] == file
+        keep = first & (names[q] != names[d])
         return pa.table({"id": pa.array(names[q][keep], pa.string()), "neighbour": pa.array(names[d][keep], pa.string()), "cosine": pa.array(np.round(c[keep].astype(float), 6), pa.float64())})
 
     found = cells.groupBy("file").applyInArrow(run, "id string, neighbour string, cosine double")
     if extra is not None:
         found = found.unionByName(extra)
-    best = found.groupBy("id", "neighbour").agg(F.max("cosine").alias("cosine"))
     # at most posts * k (and k for copies) rows an id: a bounded array
-    ranked = best.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("cosine")).alias("d"), "neighbour"))), 1, k).alias("n"))
-    return ranked.select("id", F.explode("n").alias("n")).select("id", "n.neighbour", (-F.col("n.d")).alias("cosine"))
+    ranked = found.groupBy("id").agg(F.sort_array(F.collect_list(F.struct((-F.col("cosine")).alias("d"), "neighbour"))).alias("all"))
+    once = F.filter("all", lambda x, i: F.array_position(F.col("all.neighbour"), x["neighbour"]) == i + 1)
+    return ranked.select("id", F.explode(F.slice(once, 1, k)).alias("n")).select("id", "n.neighbour", (-F.col("n.d")).alias("cosine"))
 
 
 def smallest_ids(copies: DataFrame, k: int) -> DataFrame:

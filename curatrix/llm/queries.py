@@ -27,8 +27,23 @@ def p3_neighbours(spark: SparkSession, root: str) -> DataFrame:
     return permutation_neighbours(read_table(spark, root, "embedding_shards"), k=5, posts=5, candidates=512)
 
 
+def p6_found(spark: SparkSession, root: str) -> DataFrame:
+    """Ids that follow each other in the sorted list of a cluster."""
+    from curatrix.llm.clusters import consecutive, density_clusters
+
+    members = density_clusters(read_table(spark, root, "embedding_shards"))
+    return consecutive(members, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def p6_clusters(spark: SparkSession, root: str) -> DataFrame:
+    """Size and most typical members of each cluster."""
+    from curatrix.llm.clusters import density_clusters, describe
+
+    return describe(density_clusters(read_table(spark, root, "embedding_shards")))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p3_found, p3_neighbours)}
+    return {f.__name__: f for f in (p3_found, p3_neighbours, p6_found, p6_clusters)}
 
 
 def oracle_sql() -> dict[str, str]:
