@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_LOCAL: dict[str, str] = {}
+
 
 def build_session(app: str = "curatrix", master: str = "local[*]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
     """A session with the settings the library expects (UTC, AQE, Arrow); keyword arguments use ``__`` for dots."""
@@ -23,18 +28,28 @@ def build_session(app: str = "curatrix", master: str = "local[*]", shuffle_parti
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named in ``spark.checkpoint.dir``; only where it is unset, a local folder (tests)."""
-    if spark.conf.get("spark.checkpoint.dir", None):
-        return
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="curatrix-checkpoint-"))
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder named in ``spark.checkpoint.dir``; only where it is unset, a local one (tests)."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="curatrix-")
+        atexit.register(shutil.rmtree, _LOCAL[app], ignore_errors=True)
+    return "file://" + _LOCAL[app]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder, so that a lost executor costs no recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` as a table written in the shared folder, so that a lost executor costs no recomputation.
+
+    Unlike a checkpoint, a written table is compressed and has sizes of its own: the estimates of a plan that loops
+    over joins don't multiply from round to round.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/curatrix-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
