@@ -103,11 +103,13 @@ def proportional_sample(records: DataFrame, planned: DataFrame, categories: tupl
     spans = cut_lineage(small.withColumn("to", F.sum("drawn").over(w)).withColumn("from", F.col("to") - F.col("drawn")))
     last = spans.groupBy("key").agg(F.max("to").alias("last"))
     rows = records.select("id", F.struct(*categories).alias("key"), h.alias("h")).withColumn("part", F.shiftrightunsigned("h", 52) % parts)
-    mine = rows.join(F.broadcast(last), rows["key"].eqNullSafe(last["key"])).select("id", rows["key"], "h", "part", "last")
+    lasts = last.select(F.col("key").alias("last_key"), "last")
+    mine = rows.join(F.broadcast(lasts), F.col("key").eqNullSafe(F.col("last_key"))).drop("last_key")
     sizes = mine.groupBy("key", "part", "last").agg(F.count(F.lit(1)).alias("n"))
     up = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    start = sizes.withColumn("before", F.coalesce(F.sum("n").over(up), F.lit(0))).where(F.col("before") < F.col("last")).select("key", "part", "before")
-    ranked = mine.join(start, (mine["key"].eqNullSafe(start["key"])) & (mine["part"] == start["part"])).select("id", mine["key"], mine["part"], "h", "before")
+    start = sizes.withColumn("before", F.coalesce(F.sum("n").over(up), F.lit(0))).where(F.col("before") < F.col("last")).select(F.col("key").alias("start_key"), F.col("part").alias("start_part"), "before")
+    ranked = mine.join(start, F.col("key").eqNullSafe(F.col("start_key")) & (F.col("part") == F.col("start_part")))
     pos = F.row_number().over(Window.partitionBy("key", "part").orderBy("h", "id")) + F.col("before")
-    at = ranked.withColumn("pos", pos)
-    return at.join(F.broadcast(spans), at["key"].eqNullSafe(spans["key"]) & (F.col("pos") > F.col("from")) & (F.col("pos") <= F.col("to"))).select("target_id", "id")
+    ends = spans.select(F.col("key").alias("span_key"), "target_id", "from", "to")
+    at = ranked.withColumn("pos", pos).select("id", "key", "pos")
+    return at.join(F.broadcast(ends), F.col("key").eqNullSafe(F.col("span_key")) & (F.col("pos") > F.col("from")) & (F.col("pos") <= F.col("to"))).select("target_id", "id")
