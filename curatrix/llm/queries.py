@@ -12,6 +12,13 @@ from curatrix.session import read_table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    """Pairs of question and answer with a defect."""
+    from curatrix.llm.pairs import broken_pairs
+
+    return broken_pairs(read_table(spark, root, "normalized"))
+
+
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     """Unordered pairs in which one is among the five most similar of the other, at a cosine of 0.8 or more."""
     from curatrix.llm.neighbours import permutation_neighbours
@@ -124,7 +131,7 @@ def p8_mix(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p3_found, p3_neighbours, p4_found, p4_plan, p4_sample, p5_token_budget, p6_found, p6_clusters, p7_found, p7_containers, p7_report, p8_found, p8_report, p8_mix)}
+    return {f.__name__: f for f in (p2_found, p3_found, p3_neighbours, p4_found, p4_plan, p4_sample, p5_token_budget, p6_found, p6_clusters, p7_found, p7_containers, p7_report, p8_found, p8_report, p8_mix)}
 
 
 # The supply of each target, straight from its definition.
