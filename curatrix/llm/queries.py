@@ -12,6 +12,16 @@ from curatrix.session import read_table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_varied_subset(spark: SparkSession, root: str) -> DataFrame:
+    """A varied subset of 384 records, with what is known of each."""
+    from curatrix.llm.subset import varied_subset
+
+    shards = read_table(spark, root, "embedding_shards")
+    picked = F.broadcast(varied_subset(shards, 384))  # 384 rows
+    about = shards.join(picked, "id", "left_semi").groupBy("id").agg(F.min("dataset").alias("dataset"), F.min("meta_domain").alias("meta_domain"))
+    return about.join(picked, "id").select("id", "rank", "round", "dataset", "meta_domain")
+
+
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
     """Pairs of question and answer with a defect."""
     from curatrix.llm.pairs import broken_pairs
@@ -130,8 +140,20 @@ def p8_mix(spark: SparkSession, root: str) -> DataFrame:
     return mix_sources(cut_lineage(sized_documents(spark, root, "source")), read_table(spark, root, "mix_weights"))
 
 
+def p9_found(spark: SparkSession, root: str) -> DataFrame:
+    """The subjects of each document."""
+    return p9_shares(spark, root).select("doc_id", "subject").distinct()
+
+
+def p9_shares(spark: SparkSession, root: str) -> DataFrame:
+    """The subjects of each document with the share of its sentences that deal with them."""
+    from curatrix.llm.subjects import document_subjects
+
+    return document_subjects(*(read_table(spark, root, t) for t in ("documents", "doc_subject_labels", "subjects")))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p3_found, p3_neighbours, p4_found, p4_plan, p4_sample, p5_token_budget, p6_found, p6_clusters, p7_found, p7_containers, p7_report, p8_found, p8_report, p8_mix)}
+    return {f.__name__: f for f in (p1_varied_subset, p2_found, p3_found, p3_neighbours, p4_found, p4_plan, p4_sample, p5_token_budget, p6_found, p6_clusters, p7_found, p7_containers, p7_report, p8_found, p8_report, p8_mix, p9_found, p9_shares)}
 
 
 # The supply of each target, straight from its definition.
