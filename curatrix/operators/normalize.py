@@ -8,6 +8,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from curatrix.functions.text import dataset_domain, split_difficulty
 from curatrix.operators.grammar import quality_flags
@@ -68,7 +69,7 @@ def conversation(messages: list[dict]) -> str:
     return "".join(f"<|start|>{r}{'<|channel|>' + c if c else ''}<|message|>{t}{e}" for r, c, t, e in out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def conversation_udf(x: pd.Series) -> pd.Series:
     """The tagged text of JSON message lists; null for what isn't one."""
 
@@ -82,7 +83,7 @@ def conversation_udf(x: pd.Series) -> pd.Series:
     return x.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_json_udf(x: pd.Series) -> pd.Series:
     """JSON with sorted keys and no white space; null for what isn't JSON."""
 

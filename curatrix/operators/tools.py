@@ -12,6 +12,7 @@ from typing import Any
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType
 
 # Names under which payloads hold tools, arguments and nested calls.
 NAME_KEYS = ("tool_name", "name", "tool", "function_name")
@@ -153,22 +154,22 @@ def answer_kind(text: str) -> str:
     return "json" if t[0] in "{[" else "text"
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def payload_ok_udf(x: pd.Series) -> pd.Series:
     return x.map(payload_ok)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def keyset_udf(x: pd.Series) -> pd.Series:
     return x.map(keyset)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def behaviour_udf(x: pd.Series) -> pd.Series:
     return x.map(behaviour)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def tool_payloads_ok_udf(x: pd.Series) -> pd.Series:
     """Whether all messages of tools in a text hold fine payloads."""
     return x.map(lambda t: all(payload_ok(c) for r, _, c, _ in trace(t) if r not in STANDARD and not r.startswith("assistant")))
