@@ -88,9 +88,9 @@ def p4_sample(spark: SparkSession, root: str) -> DataFrame:
 
 def p5_token_budget(spark: SparkSession, root: str) -> DataFrame:
     """Documents and tokens by dataset, language and domain."""
-    from curatrix.llm.tokens import label, language, token_budget
+    from curatrix.llm.tokens import label, token_budget
 
-    slices = {"dataset": label("dataset"), "language": language("text"), "meta_domain": label("meta_domain")}
+    slices = {"dataset": label("dataset"), "meta_domain": label("meta_domain")}
     return token_budget(read_table(spark, root, "normalized"), slices)
 
 

@@ -7,6 +7,8 @@ in a text are ordinary text.
 from __future__ import annotations
 
 import base64
+import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -31,35 +33,18 @@ def encoder(path: str):
     return tiktoken.Encoding("own", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
 
 
-def pieces(text: str | Column) -> Column:
-    """The pieces that the tokenizer splits a text into before merging, as an array; the tokenizer needs no other normalization."""
-    return F.regexp_extract_all(text, F.lit("(?U)(" + PIECES + ")"), F.lit(1))
-
-
-def piece_lengths(distinct: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(piece, tokens) of distinct pieces, each tokenized once."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary)
-        for b in batches:
-            words = b.column("piece").to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column("piece"), pa.array([len(enc.encode_ordinary(w)) for w in words], pa.int64())], names=["piece", "tokens"])
-
-    return distinct.select("piece").mapInArrow(run, "piece string, tokens long")
-
-
 def with_token_counts(df: DataFrame, text: str = "text", out: str = "tokens", vocabulary: str = VOCABULARY, keep: tuple[str, ...] = ()) -> DataFrame:
     """(*keep, out): the tokens of each text, without a shuffle; null and empty texts have none.
 
     Pieces repeat, so a task keeps the lengths of the pieces it has met (at most 500,000) and tokenizes each once.
     """
-    import regex
-
     fields = [df.schema[c] for c in keep]
     schema = T.StructType([*fields, T.StructField(out, T.LongType())])
     target = "__text"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
+
         enc = encoder(vocabulary)
         split = regex.compile(PIECES).findall
         known: dict[str, int] = {}
@@ -80,28 +65,38 @@ def with_token_counts(df: DataFrame, text: str = "text", out: str = "tokens", vo
     return df.select(*keep, F.col(text).alias(target)).mapInArrow(run, schema)
 
 
-# Frequent words that tell the five languages apart.
+# Frequent words that tell four languages apart; Chinese shows by its characters.
 MARKS = {
-    "de": "der|die|das|und|ist|nicht|ein|eine|mit|von|für|auf|wie|nach|wenn|wird|zu",
-    "en": "the|and|of|is|to|that|it|for|with|what|how|are|from|this|by",
-    "es": "el|los|las|que|una|por|con|para|se|del|más|cómo|como|si|y",
-    "fr": "le|les|et|est|une|du|dans|pour|qui|ce|au|avec|sur|des|il",
+    "de": "der die das und ist nicht ein eine mit von für auf wie nach wenn wird zu",
+    "en": "the and of is to that it for with what how are from this by",
+    "es": "el los las que una por con para se del más cómo como si y",
+    "fr": "le les et est une du dans pour qui ce au avec sur des il",
 }
+OF = {w: k for k, ws in MARKS.items() for w in ws.split() if sum(w in o.split() for o in MARKS.values()) == 1}
+INSTRUCTIONS = re.compile(r"<\|start\|>(?:system|developer).*?<\|end\|>|<\|[a-z]+\|>", re.S)
+LETTERS = re.compile(r"[^\W\d_]+")
+HAN = re.compile(r"[\u3400-\u9fff]")
 
 
-def language(text: str, default: str = "en") -> Column:
-    """Language of a text among de, en, es, fr and zh, by its frequent words and Han characters; instructions of the system don't count.
+def language_of(text: str | None, default: str = "en") -> str | None:
+    """de, en, es, fr or zh by the frequent words and Han characters of a text; instructions of the system don't count.
 
-    Null for a null text and for one without any letters; ``default`` where letters say nothing. Ties go to the
+    None for a null text and for one without letters; ``default`` where letters say nothing. Ties go to the
     alphabetically first language.
     """
-    own = F.lower(F.regexp_replace(text, r"(?s)<\|start\|>(?:system|developer).*?<\|end\|>|<\|[a-z]+\|>", " "))
-    hits = {k: F.size(F.regexp_extract_all(own, F.lit(rf"(?U)(?<!\w)({v})(?!\w)"), F.lit(1))) for k, v in MARKS.items()}
-    # a Han character stands for about half a word
-    hits["zh"] = F.size(F.regexp_extract_all(own, F.lit(r"(\p{IsHan}{4})"), F.lit(1)))
-    best = F.greatest(*hits.values())
-    name = F.coalesce(*[F.when(hits[k] == best, F.lit(k)) for k in sorted(hits)])
-    return F.when(best > 0, name).when(F.regexp_like(own, F.lit(r"\p{L}")), F.lit(default))
+    if not text:
+        return None
+    own = INSTRUCTIONS.sub(" ", text)
+    hits = dict.fromkeys(("de", "en", "es", "fr", "zh"), 0.0)
+    words = LETTERS.findall(own.lower())
+    for w in words:
+        k = OF.get(w)
+        if k:
+            hits[k] += 1
+    if not own.isascii():
+        hits["zh"] = len(HAN.findall(own)) / 4  # about half a word each
+    best = max(hits, key=hits.get)
+    return best if hits[best] else default if words else None
 
 
 def label(name: str) -> Column:
@@ -116,32 +111,58 @@ def one_per_id(df: DataFrame, id_col: str, order: list[str]) -> DataFrame:
     return first.unionByName(df.where(F.col(id_col).isNull()))
 
 
-def token_budget(df: DataFrame, slices: dict[str, Column], text: str = "text", id_col: str | None = "id", order: str | None = "ingested_at", vocabulary: str = VOCABULARY) -> DataFrame:
-    """(*slices, documents, tokens): exact totals of documents and tokens in each combination of ``slices``.
+def token_budget(df: DataFrame, slices: dict[str, Column], text: str = "text", id_col: str | None = "id", order: str | None = "ingested_at", language: str | None = "language", vocabulary: str = VOCABULARY, held: int = 500_000) -> DataFrame:
+    """(*slices, language, documents, tokens): exact totals of documents and tokens in each combination of ``slices`` and language.
 
-    Texts are split into pieces and pieces counted by slice, before the shuffle where they lie. Each distinct piece
-    then meets its counts in all slices, is tokenized once, and its length goes to the sums. A piece has at most one
-    count per slice, so no piece gathers the texts it occurs in.
+    Texts are split into pieces as the tokenizer does, and a task counts its pieces by slice (at most ``held`` counts
+    at a time). Counts of a piece meet, each distinct piece is tokenized once, and its length goes to the sums. A piece
+    has at most one count per slice and task, so no piece gathers the texts it occurs in.
 
     Of rows with the same ``id_col`` the first by ``order`` counts, rows with a null id count each; null and empty
-    texts are documents without tokens; null slices are slices of their own. Empty input gives no rows.
+    texts are documents without tokens; null slices are slices of their own. ``language`` names the column for the
+    language that :func:`language_of` reads from the text; None leaves it out. Empty input gives no rows.
     """
-    names = list(slices)
+    given = list(slices)
+    names = [*given, *([language] if language else [])]
     keep = [c for c in (id_col, order) if c]
-    rows = df.select(*[F.col(c).alias(f"__{n}") for c, n in zip(keep, ("id", "order"))], F.col(text).alias("__text"), *[c.alias(n) for n, c in slices.items()])
+    rows = df.select(*[F.col(c).alias(f"__{n}") for c, n in zip(keep, ("id", "order"))], F.col(text).alias("__text"), *[c.cast("string").alias(n) for n, c in slices.items()])
     if id_col:
-        rows = one_per_id(rows, "__id", [*(["__order"] if order else []), "__text", *names])
-    counts = rows.select(*names, F.explode(F.concat(F.array(F.lit("")), F.coalesce(pieces("__text"), F.array().cast("array<string>")))).alias("piece")).groupBy(*names, "piece").agg(F.count(F.lit(1)).alias("n"))
-    uses = counts.groupBy("piece").agg(F.collect_list(F.struct(*names, "n")).alias("uses"))
+        rows = one_per_id(rows, "__id", [*(["__order"] if order else []), "__text", *slices])
+    schema = T.StructType([*[T.StructField(n, T.StringType()) for n in names], T.StructField("piece", T.StringType()), T.StructField("n", T.LongType())])
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
+
+        split = regex.compile(PIECES).findall
+        counts: dict[tuple, Counter] = {}
+
+        def flush() -> pa.RecordBatch:
+            flat = [(*s, p, n) for s, c in counts.items() for p, n in c.items()]
+            counts.clear()
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*flat), [pa.string()] * (len(names) + 1) + [pa.int64()])], names=[*names, "piece", "n"])
+
+        for b in batches:
+            texts = b.column("__text").to_pylist()
+            for t, *s in zip(texts, *[b.column(n).to_pylist() for n in given]):
+                c = counts.setdefault((*s, language_of(t)) if language else tuple(s), Counter())
+                c[""] += 1  # the empty piece stands for the document
+                if t:
+                    c.update(split(t))
+            if sum(map(len, counts.values())) > held:
+                yield flush()
+        if counts:
+            yield flush()
+
+    counted = rows.select("__text", *slices).mapInArrow(count, schema).groupBy(*names, "piece").agg(F.sum("n").alias("n"))
+    uses = counted.groupBy("piece").agg(F.collect_list(F.struct(*names, "n")).alias("uses"))
     kind = dict(uses.dtypes)["uses"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
         for b in batches:
-            lengths = pa.array([len(enc.encode_ordinary(w)) for w in b.column("piece").to_pylist()], pa.int64())
-            # the empty piece stands for the document
-            mark = pa.array([w == "" for w in b.column("piece").to_pylist()])
-            yield pa.RecordBatch.from_arrays([mark, lengths, b.column("uses")], names=["mark", "tokens", "uses"])
+            words = b.column("piece").to_pylist()
+            lengths = pa.array([len(enc.encode_ordinary(w)) for w in words], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([w == "" for w in words], pa.bool_()), lengths, b.column("uses")], names=["mark", "tokens", "uses"])
 
     lengths = uses.mapInArrow(run, f"mark boolean, tokens long, uses {kind}")
     flat = lengths.select("mark", "tokens", F.explode("uses").alias("u")).select("mark", "tokens", "u.*")
