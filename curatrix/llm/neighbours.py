@@ -142,7 +142,7 @@ def permutation_neighbours(
     Parameters: ``pivots`` (about 1.5 times the root of the number of rows unless given), ``posts`` inverted files a
     vector is posted in, ``prefix`` pivots of its order, ``candidates`` kept by footrule in a file before cosines
     count, ``least_cosine`` to leave out weaker neighbours early. Approximate: a neighbour is found if it shares one of
-    its nearest pivots.
+    its nearest pivots; an id may come out with fewer than ``k``.
 
     Null ids and unusable vectors (null, other length, NaN, infinite or null values, all zero) neither ask nor answer.
     Repeated rows of an id count once; where they hold different vectors, each is searched and the best cosine counts.

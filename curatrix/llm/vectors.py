@@ -52,7 +52,7 @@ def unpack(column: pa.Array, dim: int) -> np.ndarray:
     return np.stack([np.frombuffer(b, np.float16 if len(b) == 2 * dim else np.float32).astype(np.float32) for b in rows]) if rows else np.zeros((0, dim), np.float32)
 
 
-def pivot_count(rows: int, least: int = 16, most: int = 8192) -> int:
+def pivot_count(rows: int, least: int = 4, most: int = 8192) -> int:
     """Pivots for a collection: with about 1.5 times the square root, cells and pivots grow alike. ``most`` bounds what is sent to the executors (8 MB)."""
     return int(min(most, max(least, math.ceil(1.5 * math.sqrt(max(rows, 1))))))
 
