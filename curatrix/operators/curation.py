@@ -70,7 +70,10 @@ def pools(df: DataFrame, high: float = 0.875, low: float = 0.25) -> DataFrame:
 
 
 def keep_first(df: DataFrame, key: str, *order: str | Column) -> DataFrame:
-    """The first row of each key by ``order``, which must tell rows apart; rows without a key don't come out."""
+    """The first row of each key by ``order``, which must tell rows apart; rows without a key don't come out.
+
+    Spark limits each task's rows of a key to the first before the shuffle, so a hot key moves few.
+    """
     w = Window.partitionBy(key).orderBy(*order)
     return df.where(F.col(key).isNotNull()).withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
@@ -126,10 +129,14 @@ def smallest_hashes(df: DataFrame, k: int, key: str, seed: int, per: str | None
 
 
 def round_robin(df: DataFrame, pack: str, *order: str) -> DataFrame:
-    """``df`` with ``turn`` and ``place``: packs take turns, each in its own order; sort by both for the union."""
-    packs = df.select(pack).distinct().withColumn("place", F.row_number().over(Window.orderBy(pack)) - 1)
-    w = Window.partitionBy(pack).orderBy(*order)
-    return df.withColumn("turn", F.row_number().over(w) - 1).join(F.broadcast(packs), pack)
+    """``df`` with ``turn`` and ``place``: packs take turns, each in its own order; sort by both for the union.
+
+    A row's turn is its place in the whole order of packs less that of its pack's first row, so no pack is one task's.
+    """
+    at = running_offsets(df.withColumn("__one", F.lit(1)), "__one", pack, *order)
+    firsts = at.groupBy(pack).agg(F.min("offset").alias("__from"))  # one row a pack
+    packs = firsts.withColumn("place", F.row_number().over(Window.orderBy(pack)) - 1)
+    return at.join(packs, pack).withColumn("turn", F.col("offset") - F.col("__from")).drop("__one", "offset", "__from")
 
 
 def running_offsets(df: DataFrame, size: str, *order: str, parts: int | None = None) -> DataFrame:

@@ -42,10 +42,10 @@ def knn(df: DataFrame, queries: DataFrame, k: int, id_col: str, vec_col: str, bl
                 ids = p["id"].to_numpy()
                 s = np.round(q @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T, 6)
                 s[names[:, None] == ids[None, :]] = -9
-                for i in range(len(names)):
-                    best = np.lexsort((ids, -s[i]))[:k]
-                    best = best[s[i][best] > -9]
-                    yield pd.DataFrame({"query": names[i], "neighbour": ids[best], "cosine": s[i][best]})
+                # all that reach the k-th cosine, so that ties are settled by id further on
+                edge = np.partition(s, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(names), -9.0)
+                i, j = np.nonzero((s >= edge[:, None]) & (s > -9))
+                yield pd.DataFrame({"query": names[i], "neighbour": ids[j], "cosine": s[i, j]})
 
         found = rows.mapInPandas(run, f"query {kind}, neighbour {kind}, cosine double")
         out = found if out is None else out.unionByName(found)
