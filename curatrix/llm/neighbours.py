@@ -1,12 +1,13 @@
 """Most similar vectors for every vector: a permutation index.
 
 A bounded sample of vectors serves as pivots. Each vector is represented by the order of its nearest pivots and is
-posted in the inverted files of the first few of them. Within a file vectors are ranked against each other by the
-footrule distance of their pivot orders; the best of these are ranked again by cosine. The best of all files count.
+posted in the inverted files of the first few of them. Within a file vectors are ranked against each other by cosine,
+all of them or the best by the footrule distance of their pivot orders. The best of all files count.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -18,6 +19,8 @@ from curatrix.llm.vectors import DIM, matrix, pack, pick_pivots, pivot_count, un
 from curatrix.session import cut_lineage
 
 BLOCK = 1024
+#: Cosines that a block of queries holds at most.
+CELLS = 1 << 25
 
 
 def orders(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
@@ -53,16 +56,17 @@ def footrule_overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def search_file(ids: np.ndarray, x: np.ndarray, perm: np.ndarray, k: int, candidates: int, least: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def search_file(ids: np.ndarray, x: np.ndarray, perm: np.ndarray, k: int, candidates: int | None, least: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, found row, cosine) of the k best of one inverted file, for each of its rows, in blocks of queries."""
     qs, ds, cs = [], [], []
     n = len(ids)
-    for s in range(0, n, BLOCK):
-        e = min(n, s + BLOCK)
-        near = footrule_overlap(perm[s:e], perm)
-        near[np.arange(e - s), np.arange(s, e)] = -1
+    block = max(1, min(BLOCK, CELLS // max(n, 1)))
+    for s in range(0, n, block):
+        e = min(n, s + block)
         cos = x[s:e] @ x.T
-        if n > candidates:  # all that tie with the last candidate stay
+        if candidates is not None and n > candidates:  # all that tie with the last candidate stay
+            near = footrule_overlap(perm[s:e], perm)
+            near[np.arange(e - s), np.arange(s, e)] = -1
             cut = np.partition(near, n - candidates, axis=1)[:, n - candidates]
             cos[near < cut[:, None]] = -2
         cos[np.arange(e - s), np.arange(s, e)] = -2
@@ -118,6 +122,11 @@ def post(vectors: DataFrame, pivots: np.ndarray, posts: int, prefix: int, dim: i
     return vectors.select("id", "vec").mapInArrow(run, "file int, id binary, vec binary, perm binary")
 
 
+def posts_for(rows: int, least: int = 5) -> int:
+    """Inverted files a vector is posted in so that recall holds as ``rows`` grow: one more for ten times the rows."""
+    return max(least, math.ceil(math.log10(max(rows, 1))))
+
+
 def crowded_copies(vectors: DataFrame, rows: int, least: int = 1000, share: int = 1000) -> DataFrame:
     """(h): the vectors, by hash, found more than ``least`` times and in more than a ``share``-th of ``rows``; so at most ``share`` rows."""
     per = vectors.groupBy(F.xxhash64("vec").alias("h")).agg(F.count(F.lit(1)).alias("n"))
@@ -132,16 +141,16 @@ def permutation_neighbours(
     dim: int = DIM,
     least_cosine: float | None = None,
     pivots: int | None = None,
-    posts: int = 3,
+    posts: int | None = 3,
     prefix: int = 8,
-    candidates: int = 256,
+    candidates: int | None = 256,
     seed: int = 0,
 ) -> DataFrame:
     """(id, neighbour, cosine): for each id with a usable vector its ``k`` most similar other ids.
 
     Parameters: ``pivots`` (about 1.5 times the root of the number of rows unless given), ``posts`` inverted files a
-    vector is posted in, ``prefix`` pivots of its order, ``candidates`` kept by footrule in a file before cosines
-    count, ``least_cosine`` to leave out weaker neighbours early. Approximate: a neighbour is found if it shares one of
+    vector is posted in (None: :func:`posts_for`), ``prefix`` pivots of its order, ``candidates`` kept by footrule in a
+    file before cosines count (None: the whole file), ``least_cosine`` to leave out weaker neighbours early. Approximate: a neighbour is found if it shares one of
     its nearest pivots; an id may come out with fewer than ``k``.
 
     Null ids and unusable vectors (null, other length, NaN, infinite or null values, all zero) neither ask nor answer.
@@ -153,6 +162,8 @@ def permutation_neighbours(
     spark = df.sparkSession
     vectors = usable_rows(df, id_col, vec_col, dim)
     count = df.select(id_col).count()
+    posts = posts_for(count) if posts is None else posts
+    prefix = max(prefix, posts)
     piv = pick_pivots(vectors, pivots or pivot_count(count), seed)
     if not len(piv):
         return spark.createDataFrame([], "id string, neighbour string, cosine double")

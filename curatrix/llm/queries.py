@@ -41,7 +41,7 @@ def p3_neighbours(spark: SparkSession, root: str) -> DataFrame:
     """The five most similar other ids of every id."""
     from curatrix.llm.neighbours import permutation_neighbours
 
-    return permutation_neighbours(read_table(spark, root, "embedding_shards"), k=5, posts=5, candidates=512)
+    return permutation_neighbours(read_table(spark, root, "embedding_shards"), k=5, posts=None, candidates=None)
 
 
 def p6_found(spark: SparkSession, root: str) -> DataFrame:

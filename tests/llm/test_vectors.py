@@ -66,6 +66,24 @@ def test_neighbours_recall(spark):
     assert all(len(v) == 5 and i not in v for i, v in got.items())
 
 
+def test_neighbours_in_files_of_over_a_thousand(spark, tmp_path, monkeypatch):
+    from curatrix.llm.queries import p3_neighbours
+
+    rng = np.random.default_rng(4)
+    rows = [(f"r{i:04d}", rng.standard_normal(256)) for i in range(1500)]
+    table(spark, rows).select("id", "embedding").write.parquet(f"{tmp_path}/embedding_shards.parquet")
+    monkeypatch.setattr(P, "pivot_count", lambda n: 6)
+    truth, _ = brute(rows, 5)
+    got = {}
+    for r in p3_neighbours(spark, str(tmp_path)).collect():
+        got.setdefault(r.id, set()).add(r.neighbour)
+    assert sum(len(got[i] & set(truth[i])) for i in truth) / (5 * len(truth)) >= 0.98
+
+
+def test_posts_grow_with_the_rows():
+    assert [P.posts_for(n) for n in (0, 1_000, 12_298, 122_644, 1_226_440)] == [5, 5, 5, 6, 7]
+
+
 @pytest.mark.skipif(not Path(TABLES).exists(), reason="no test tables")
 def test_found_pairs_recall(spark):
     from curatrix.llm.queries import p3_found
