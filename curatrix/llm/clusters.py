@@ -8,6 +8,7 @@
    hierarchy level by level; components below the least size fall out of it (condensed hierarchy).
 3. Excess of mass: a component is kept where its stability exceeds that of all its parts together.
 4. The kept components are held against the definition of a cluster: cosine to the own mean direction, to the others.
+5. Clusters too loose for the levels of the hierarchy are sought among the vectors that no mean direction reached.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from curatrix.session import cut_lineage
 #: Rows of a cell that are compared at once; a larger cell is cut along the order of its next pivots.
 CELL = 3072
 NEVER = -2.0
+#: Vectors out of reach of all clusters that are compared at once, and rows a cell has on average where there are more.
+LEFT, LEFT_CELL = 16_384, 4096
 #: A round of Boruvka follows up to 2 ** DOUBLINGS choices from each component.
 DOUBLINGS = 2
 
@@ -172,7 +175,7 @@ def density_clusters(
     finally:
         spark.conf.set("spark.sql.codegen.wholeStage", whole)
     chosen = chosen.join(cores, "node")
-    found = refine(spark, vectors, chosen, least_size, own, other, dim)
+    found = refine(spark, vectors, chosen, least_size, own, other, neighbours, copies, dim)
     # repeated rows of an id: the nearer one counts
     one = found.groupBy("id").agg(F.max(F.struct("own_cosine", "cluster")).alias("m")).select("id", "m.cluster", "m.own_cosine")
     members = one.join(cores.withColumnRenamed("core", "persistence"), F.xxhash64("id") == F.col("node"), "left").select("id", "cluster", "own_cosine", "persistence")
@@ -324,14 +327,9 @@ def joined(count: int, pairs: set[tuple[int, int]]) -> np.ndarray:
     return group
 
 
-def refine(spark: SparkSession, vectors: DataFrame, members: DataFrame, least_size: int, own: float, other: float, dim: int, rounds: int = 8) -> DataFrame:
-    """The clusters of the hierarchy held against the definition, by passes over all vectors.
-
-    A pass gives each vector to the cluster of its nearest mean direction, if the cosine is ``own`` or more. Clusters
-    to which a member of another has a cosine of ``other`` or more are one; clusters that are too small go. The passes
-    end when nothing changes.
-    """
-    means = seed_directions(vectors, members, dim)
+def settle(vectors: DataFrame, means: np.ndarray, least_size: int, own: float, other: float, dim: int, rounds: int) -> np.ndarray:
+    """The mean directions after the passes of :func:`refine` over ``vectors``."""
+    spark = vectors.sparkSession
     before = None
     for _ in range(rounds):
         if not len(means):
@@ -377,6 +375,106 @@ def refine(spark: SparkSession, vectors: DataFrame, members: DataFrame, least_si
         if now == before and not pairs:
             break
         before = now
+    return means
+
+
+def loose_seeds(x: np.ndarray, least_size: int, own: float, neighbours: int, copies: float) -> np.ndarray:
+    """Directions with ``least_size`` or more of the unit rows within ``own``: climbed to from each row.
+
+    Rows with a cosine of ``own`` to a common direction are about ``own`` squared alike, so a climb begins with those
+    and draws the bound up to ``own``. In most rows of a found group ``neighbours`` distinct others are so like; near
+    copies (``copies``) count once in this, so that a few unrelated groups of copies are no cluster.
+    """
+    n, low = len(x), own * own
+    block = max(1, min(1024, (1 << 24) // max(n, 1)))
+    found: list[tuple[int, np.ndarray]] = []
+    for s in range(0, n, block):
+        m = x[s : s + block]
+        for t in (low, (low + own) / 2, own, own, own, own):
+            q, d = np.nonzero(m @ x.T >= t)
+            sizes = np.bincount(q, minlength=len(m))
+            here = sizes >= least_size
+            q, d = q[here[q]], d[here[q]]
+            if not len(q):
+                m = m[:0]
+                break
+            m = unit(np.add.reduceat(x[d], np.flatnonzero(np.r_[True, q[1:] != q[:-1]]), axis=0))
+            m = m[np.sort(np.unique(np.round(m, 3), axis=0, return_index=True)[1])]
+        for v in m:
+            if all(v @ f < copies for _, f in found):
+                y = x[x @ v >= own]
+                sim = y @ y.T
+                leads = [i for i in range(len(y)) if not (sim[i, :i] >= copies).any()]
+                near = ((sim[:, leads] >= low) & (sim[:, leads] < copies)).sum(1)
+                if len(y) >= least_size and (np.median(near) >= neighbours or (sim >= copies).sum(1).max() >= least_size):
+                    found.append((len(y), v))
+    return np.array([v for _, v in found], np.float32).reshape(-1, x.shape[1])
+
+
+def loose_clusters(vectors: DataFrame, means: np.ndarray, least_size: int, own: float, other: float, neighbours: int, copies: float, dim: int, rounds: int) -> np.ndarray:
+    """Mean directions of further clusters, among the vectors with a cosine below ``other`` to all ``means``.
+
+    Up to ``LEFT`` such vectors are compared all with all, more of them in the cells of their five nearest pivots. A
+    cluster is added if it holds against the definition: neither a member of another nor an id outside reaches
+    ``other`` to its mean direction.
+    """
+    spark = vectors.sparkSession
+    none = np.zeros((0, dim), np.float32)
+    sent = spark.sparkContext.broadcast(means.reshape(-1, dim).astype(np.float32))
+
+    def unreached(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                cos = unit(matrix(b.column("vec"), dim)) @ sent.value.T
+                yield b.filter(pa.array(cos.max(1, initial=NEVER) < other))
+
+    left = cut_lineage(vectors.select("id", "vec").mapInArrow(unreached, "id string, vec array<float>").dropDuplicates(["id", "vec"]))
+    count = left.count()
+    if count < least_size:
+        return none
+    piv = pick_pivots(left, 1 if count <= LEFT else min(8192, -(-5 * count // LEFT_CELL)))
+
+    def climb(table: pa.Table) -> pa.Table:
+        x = unit(unpack(table.column("vec").combine_chunks(), dim))
+        return pa.table({"vec": pa.array(list(loose_seeds(x, least_size, own, neighbours, copies)), pa.list_(pa.float32()))})
+
+    got = post(left, piv, 5, 8, dim).groupBy("file").applyInArrow(climb, "vec array<float>").toArrow()
+    if not got.num_rows:
+        return none
+    seeds = none
+    for v in matrix(got.column("vec"), dim):  # a cluster met in several cells
+        if not (seeds @ v >= copies).any():
+            seeds = np.concatenate([seeds, v[None]])
+    found = settle(left, seeds, least_size, own, other, dim, rounds)
+    if not len(found):
+        return none
+    new = spark.sparkContext.broadcast(found)
+
+    def against(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bad = np.zeros(len(new.value), bool)
+        for b in batches:
+            if b.num_rows:
+                x = unit(matrix(b.column("vec"), dim))
+                cos = x @ new.value.T
+                reached = cos >= other
+                mine = (cos >= own) & (cos == cos.max(1, keepdims=True)) & ((x @ sent.value.T).max(1, initial=NEVER) < other)[:, None]
+                bad |= (reached & ~mine).any(0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(bad))], names=["k"])
+
+    bad = [r.k for r in vectors.select("vec").mapInArrow(against, "k long").distinct().collect()]
+    return np.delete(found, bad, axis=0)
+
+
+def refine(spark: SparkSession, vectors: DataFrame, members: DataFrame, least_size: int, own: float, other: float, neighbours: int, copies: float, dim: int, rounds: int = 8) -> DataFrame:
+    """The clusters of the hierarchy held against the definition, by passes over all vectors.
+
+    A pass gives each vector to the cluster of its nearest mean direction, if the cosine is ``own`` or more. Clusters
+    to which a member of another has a cosine of ``other`` or more are one; clusters that are too small go. The passes
+    end when nothing changes. What no cluster reaches is then searched for looser ones (:func:`loose_clusters`).
+    """
+    means = settle(vectors, seed_directions(vectors, members, dim), least_size, own, other, dim, rounds)
+    more = loose_clusters(vectors, means, least_size, own, other, neighbours, copies, dim, rounds)
+    means = np.concatenate([means.reshape(-1, dim), more]).astype(np.float32)
     if not len(means):
         return spark.createDataFrame([], "id string, cluster long, own_cosine double")
     sent = spark.sparkContext.broadcast(means)

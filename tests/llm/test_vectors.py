@@ -139,6 +139,23 @@ def test_clusters_of_planted_crowds(spark):
     assert all(r.own_cosine >= 0.45 for r in members)
 
 
+def test_loose_clusters(spark):
+    rng = np.random.default_rng(11)
+    rows = crowds([40, 25, 12], spread=1.6, seed=3) + [(f"n{i:03d}", rng.standard_normal(256)) for i in range(300)]
+    rows += [(f"k{g}-{i}", v + 0.01 * rng.standard_normal(256)) for g, v in enumerate(rng.standard_normal((3, 256))) for i in range(4)]  # no cluster
+    rows += [(f"t{i:02d}", v) for i, (_, v) in enumerate(crowds([30], seed=5))]
+    x = V.unit(np.stack([v for _, v in rows]).astype(np.float32))
+    want = [{i for i, _ in rows if i.startswith(p)} for p in ("c00", "c01", "c02", "t")]
+    for ids in want:  # as the definition asks
+        mine = np.array([i in ids for i, _ in rows])
+        cos = x @ V.unit(x[mine].sum(0, keepdims=True))[0]
+        assert cos[mine].min() >= 0.45 and cos[~mine].max() < 0.4
+    by = {}
+    for r in K.density_clusters(table(spark, rows)).collect():
+        by.setdefault(r.cluster, set()).add(r.id)
+    assert sorted(map(sorted, by.values())) == sorted(map(sorted, want))
+
+
 def test_consecutive_ids(spark):
     df = spark.createDataFrame([("a", 1), ("c", 1), ("b", 1), ("x", 2), ("d", 3), ("e", 3)], "id string, cluster long")
     for parts in (1, 2, 5):
