@@ -50,6 +50,14 @@ SORRY = {
            [".", ". Puis-je faire autre chose ?", ". Adressez-vous plutôt à une personne qualifiée."]),
     "zh": (["很抱歉,", "对不起,", "抱歉,", ""], ["我无法回答这个问题", "这个请求我不能提供帮助", "我不便讨论这个话题", "恕我不能回应"], ["。", "。还有别的可以帮您吗?", "。请咨询专业人士。"]),
 }
+# What a long answer may begin with, before it answers or declines.
+BEGINNINGS = {
+    "en": ["Thank you for the question, which many readers have raised before in one form or another.", "Before going further it is worth recalling what the subject is about and why it matters to so many.", "There is a long history behind this, and several schools have written on it at length over the years.", "Much depends on the setting, on the time and on what is taken for granted at the outset.", "Let me first set out the background, since the terms are often used loosely."],
+    "de": ["Vielen Dank für die Frage, die in dieser oder ähnlicher Form schon oft gestellt wurde.", "Zunächst lohnt ein Blick auf den Hintergrund, denn die Begriffe werden häufig ungenau gebraucht.", "Das Thema hat eine lange Geschichte, und mehrere Schulen haben ausführlich darüber geschrieben."],
+    "es": ["Gracias por la pregunta, que muchos lectores han planteado antes de una forma u otra.", "Antes de seguir conviene recordar de qué trata el tema y por qué importa a tanta gente.", "Hay una larga historia detrás de todo esto, y varias escuelas han escrito mucho sobre ello."],
+    "fr": ["Merci pour la question, que bien des lecteurs ont déjà posée sous une forme ou une autre.", "Avant d'aller plus loin, il convient de rappeler le contexte, car les termes sont souvent employés sans soin.", "Le sujet a une longue histoire, et plusieurs écoles ont beaucoup écrit à ce propos."],
+    "zh": ["感谢您的提问,许多读者以前也以不同的形式提出过类似的疑问。", "在继续之前,值得先回顾一下这个主题的背景以及它为何对许多人重要。", "这个话题有着悠久的历史,多个学派多年来都有大量的论述。"],
+}
 LEADS = ["Q: ", "Question: ", "You asked: ", "Your question: ", "User: ", "Frage: ", "Pregunta: ", "Question : ", "> "]
 NOTHING = ["", " ", "\n", "...", "…", "-", "—", "?", "N/A", "n/a", "null", "None", "(empty)", "[no content]", "<br/>", "```\n```", '""', "{}", "[]", "nil", "(none)", "[empty]", "(no answer)", "undefined", "\u200b", "_", "<p></p>"]
 WORDS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|\d+|[\u4e00-\u9fff]", re.UNICODE)
@@ -127,13 +135,13 @@ def code(name: str) -> int:
 
 
 def grams(words: list[str]) -> list[int]:
-    """Hashes of the word n-grams of the head of an answer, and of its first words again."""
-    h = [code("#" if w[0].isdigit() else w) for w in words[:20]]
+    """Hashes of the word n-grams of an answer, each once, and of its first and last words again."""
+    h = [code("#" if w[0].isdigit() else w) for w in words]
     # single Han characters tell little
     out = [x * 2654435761 + 17 for x, w in zip(h, words) if not "\u4e00" <= w[0] <= "\u9fff"]
     out += [a * 31 + b * 65599 for a, b in zip(h, h[1:])]
-    out += [a * 131 + b * 8191 + c * 127 for a, b, c in zip(h[:12], h[1:], h[2:])]
-    return [x >> 7 for x in out] + [x * 97 + 5 for x in h[:2]]
+    out += [a * 131 + b * 8191 + c * 127 for a, b, c in zip(h, h[1:], h[2:])]
+    return [x >> 7 for x in dict.fromkeys(out)] + [x * 97 + 5 for x in h[:2]] + [(a * 613 + b * 7919 + 3) >> 7 for a, b in dict.fromkeys(zip(h[-12:], h[-11:]))]
 
 
 def bucket(x: float, cuts: tuple[float, ...]) -> int:
@@ -173,14 +181,15 @@ def features(question: str, answer: str, known: frozenset[str] = frozenset()) ->
     out.append(f"cut{int(cut)} size{min(size, 5)}")
     if code_ and tail not in ("sorry", "```"):
         out.append("code end " + kind)
-    told = COUNTED.search(low[:200])
+    told = COUNTED.search(low)
     if told:
         want = NUMBERS.get(told[1]) or (int(told[1]) if told[1].isdigit() else 0)
         have = len(ITEMS.findall(a))
         out.append(f"points {'fewer' if have and have < want else 'none' if not have else 'all'}")
-    cue = CUES.search(low[:200]) is not None
+    said = CUES.search(low)
+    cue = said is not None
     sentences = bucket(sum(a.count(x) for x in ".!?。!?"), (2, 3, 4))
-    out += [f"cue{int(cue)}", f"cue{int(cue)} sentences{sentences}", f"cue{int(cue)} size{size}", f"hard{int(opened > 0 or odd or math or ragged or bare)}"]
+    out += [f"cue{int(cue)}", f"cue{int(cue)} sentences{sentences}", f"cue{int(cue)} size{size}", f"cue{int(cue)} late{int(cue and said.start() >= 200)}", f"cue{int(cue)} end{int(CUES.search(low[-150:]) is not None)}", f"hard{int(opened > 0 or odd or math or ragged or bare)}"]
     # the question again
     if n:
         if n > 4:
@@ -203,6 +212,11 @@ def features(question: str, answer: str, known: frozenset[str] = frozenset()) ->
     return [code(f) % SPACE for f in out] + [x % SPACE for x in grams(aw)]
 
 
+def beginning(rng: np.random.Generator, lang: str) -> str:
+    """A few sentences that a long answer may begin with."""
+    return " ".join(rng.permutation(BEGINNINGS.get(lang, BEGINNINGS["en"]))[: int(rng.integers(2, 4))]) + " "
+
+
 def broken(rng: np.random.Generator, question: str, answer: str, others: dict[str, list[str]]) -> list[tuple[str, str]]:
     """(defect, answer) made from a pair whose answer looks whole."""
     made: list[tuple[str, str]] = []
@@ -218,6 +232,10 @@ def broken(rng: np.random.Generator, question: str, answer: str, others: dict[st
     for tail in ("", " " + topic, " with " + name):
         x = pick(first) + pick(core).removesuffix(" this" if tail else "") + tail + pick([*after, after[0], ". You may want to ask someone in " + name + "."] if lang == "en" else after)
         made.append(("refusal", x[0].upper() + x[1:]))
+    made.append(("refusal", beginning(rng, lang) + x[0].upper() + x[1:]))
+    stops = [m.end() for m in re.finditer(r"[.!?。] *", a)]
+    if stops:
+        made.append(("refusal", a[: stops[int(rng.integers(len(stops)))]].rstrip() + " " + x[0].upper() + x[1:]))
     if len(a) > 40:
         for _ in range(2):
             at = int(rng.integers(20, len(a) - 2))
@@ -225,8 +243,9 @@ def broken(rng: np.random.Generator, question: str, answer: str, others: dict[st
             if piece and piece[-1] not in TERMINAL and len(WORDS.findall(piece)) > 3:
                 made.append(("truncated", piece))
         items = [m.start() for m in ITEMS.finditer(a)]
-        if len(items) > 2 and COUNTED.search(a[:200].lower()):
+        if len(items) > 2 and COUNTED.search(a.lower()):
             made.append(("truncated", a[: items[int(rng.integers(1, len(items)))]].rstrip()))
+            made.append(("truncated", beginning(rng, tongue(WORDS.findall(a.lower()))[0]) + a[: items[int(rng.integers(1, len(items)))]].rstrip()))
     q = question.strip()
     words = q.split(" ")
     if len(words) > 4:
@@ -258,6 +277,8 @@ def fit(rows: list[tuple[str, str]], seed: int = 0, epochs: int = 5) -> tuple[np
     made = [(features(q, b, known), DEFECTS.index(d)) for q, a in rows for d, b in broken(rng, q, a, others)]
     # a question with its answer after it is no copy, an apology with an answer no refusal
     mixed = [features(q, x, known) for q, a in rows[::4] if len(a) > 60 for x in (q.strip() + "\n\n" + a, SORRY.get(tongue(WORDS.findall(a.lower()))[0] or "en", SORRY["en"])[0][1] + a)]
+    # neither is a long beginning a defect
+    mixed += [features(q, beginning(rng, tongue(WORDS.findall(a.lower()))[0]) + a, known) for q, a in rows[1::4] if len(a) > 60]
     hold = rng.random(len(sound)) < 0.2
     hold_made = rng.random(len(made)) < 0.2
     keep = np.ones(len(sound), bool)

@@ -139,6 +139,24 @@ def test_classifier_on_held_out_pairs(spark):
     assert (R.scores(weights, [R.features(q, a, known) for q, a in whole]) - cuts).max(1).__ge__(0).mean() < 0.15
 
 
+@needs_tables
+def test_defects_after_long_beginnings(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/normalized.parquet").where("text is not null").orderBy("id").limit(1000).select("text").collect()
+    weights, cuts, known = R.fit([p for r in rows for p in R.pairs(r.text)][:1500])
+    said = lambda q, a: (R.scores(weights, [R.features(q, a, known)]) - cuts)[0]
+    q = "How does a bond differ from a loan?"
+    long = "This is one of those matters on which whole shelves of books have been filled. It helps to look at it from more than one side, with the common use of the words in mind and with some care for the cases in which they part. "
+    assert len(long) > 200
+    for end in ("I'm sorry, but I can't help with that.", "Unfortunately I am unable to provide a response here.", "I must decline to comment on this."):
+        s = said(q, long + end)
+        assert s.max() >= 0 and R.DEFECTS[s.argmax()] == "refusal"
+    words = [f"w{k}" for k in range(60)]
+    assert len(set(R.grams(words))) > len(set(R.grams(words[:30])))
+    points = ["1. The loan is given by a bank.", "2. The bond is sold on a market.", "3. The price of the bond moves."]
+    whole, cut = (R.features(q, long + "There are three points. \n" + "\n".join(points[:k]), known) for k in (3, 2))
+    assert R.code("points all") % R.SPACE in whole and R.code("points fewer") % R.SPACE in cut
+
+
 def test_pairs_of_awkward_rows(spark):
     df = spark.createDataFrame([("a", None, 1), (None, "x", 1), ("b", "", 1), ("c", "<|start|>user<|message|>q", 1), ("c", "<|start|>user<|message|>q", 2)], "id string, text string, pair_no int")
     assert {r.id for r in R.broken_pairs(df).collect()} <= {"c"} and R.broken_pairs(df.limit(0)).count() == 0
