@@ -120,11 +120,12 @@ def p7_report(spark: SparkSession, root: str) -> DataFrame:
 
 def p8_report(spark: SparkSession, root: str) -> DataFrame:
     """Target and reached share of each source."""
-    from curatrix.llm.mixing import mix_report, mix_sources
+    from curatrix.llm.mixing import balance, mix_report, mix_sources
     from curatrix.session import cut_lineage
 
     sized, weights = cut_lineage(sized_documents(spark, root, "source")), read_table(spark, root, "mix_weights")
-    return mix_report(sized, weights, mix_sources(sized, weights))
+    solved = balance(sized, weights)
+    return mix_report(weights, solved, mix_sources(sized, weights, solved))
 
 
 def p8_found(spark: SparkSession, root: str) -> DataFrame:

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from curatrix.llm.languages import UNKNOWN, WORDS, tongue
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 # Fixed value: the pre-splitting pattern of the tokenizer (public).
@@ -65,38 +67,19 @@ def with_token_counts(df: DataFrame, text: str = "text", out: str = "tokens", vo
     return df.select(*keep, F.col(text).alias(target)).mapInArrow(run, schema)
 
 
-# Frequent words that tell four languages apart; Chinese shows by its characters.
-MARKS = {
-    "de": "der die das und ist nicht ein eine mit von für auf wie nach wenn wird zu",
-    "en": "the and of is to that it for with what how are from this by",
-    "es": "el los las que una por con para se del más cómo como si y",
-    "fr": "le les et est une du dans pour qui ce au avec sur des il",
-}
-OF = {w: k for k, ws in MARKS.items() for w in ws.split() if sum(w in o.split() for o in MARKS.values()) == 1}
 INSTRUCTIONS = re.compile(r"<\|start\|>(?:system|developer).*?<\|end\|>|<\|[a-z]+\|>", re.S)
-LETTERS = re.compile(r"[^\W\d_]+")
-HAN = re.compile(r"[\u3400-\u9fff]")
 
 
-def language_of(text: str | None, default: str = "en") -> str | None:
-    """de, en, es, fr or zh by the frequent words and Han characters of a text; instructions of the system don't count.
+def language_of(text: str | None) -> str | None:
+    """The language that a text shows (see :mod:`curatrix.llm.languages`); instructions of the system don't count.
 
-    None for a null text and for one without letters; ``default`` where letters say nothing. Ties go to the
-    alphabetically first language.
+    None for a null text and for one without letters; ``unknown`` where letters tell no language.
     """
     if not text:
         return None
     own = INSTRUCTIONS.sub(" ", text)
-    hits = dict.fromkeys(("de", "en", "es", "fr", "zh"), 0.0)
-    words = LETTERS.findall(own.lower())
-    for w in words:
-        k = OF.get(w)
-        if k:
-            hits[k] += 1
-    if not own.isascii():
-        hits["zh"] = len(HAN.findall(own)) / 4  # about half a word each
-    best = max(hits, key=hits.get)
-    return best if hits[best] else default if words else None
+    words = WORDS.findall(own.lower())
+    return tongue(words, own)[0] or UNKNOWN if words else None
 
 
 def label(name: str) -> Column:

@@ -47,7 +47,8 @@ def test_budget_of_awkward_rows(spark):
 
 
 def test_language():
-    said = {"The cat is on the mat": "en", "Der Hund ist nicht da": "de", "El gato y los perros": "es", "Le chat est dans les rues": "fr", "因此最后才验证导数": "zh", "12 34": None, "": None, "xyzzy": "en"}
+    said = {"The cat is on the mat": "en", "Der Hund ist nicht da": "de", "El gato y los perros": "es", "Le chat est dans les rues": "fr", "因此最后才验证导数": "zh", "12 34": None, "": None, None: None, "xyzzy": "unknown"}
+    said |= {"Il gatto è nella casa della zia": "it", "O gato não está em casa": "pt", "De kat zit niet op het dak": "nl", "Кошка сидит на крыше": "cyrillic", "これは猫です": "ja", "고양이가 있다": "ko", "Η γάτα είναι εδώ": "el"}
     assert {t: T.language_of(t) for t in said} == said
 
 
@@ -83,8 +84,9 @@ def test_mix_reaches_its_targets(spark):
     docs = [(i, s, int(rng.integers(5, 200))) for i, s in enumerate(["a"] * 600 + [" B\t"] * 300 + ["c"] * 3 + [None] * 5)] + [(9000, "a", None), (9001, "a", 0)]
     sized = spark.createDataFrame(docs, "doc_id int, source string, tokens int")
     weights = spark.createDataFrame([("A", 0.5, 2, 40_000), ("b", 0.3, 4, 40_000), ("c", 0.1, 2, 40_000), ("d", 0.1, 3, 40_000)], "source string, target_weight double, max_repeats int, budget_tokens long")
-    mixed = M.mix_sources(sized, weights)
-    rows = {r.source: r for r in M.mix_report(sized, weights, mixed).collect()}
+    solved = M.balance(sized, weights)
+    mixed = M.mix_sources(sized, weights, solved)
+    rows = {r.source: r for r in M.mix_report(weights, solved, mixed).collect()}
     assert abs(rows["A"].mixed_tokens - 20_000) < 400 and abs(rows["b"].mixed_tokens - 12_000) < 400
     supply = sum(n for _, s, n in docs if s == "c")
     assert rows["c"].short and rows["c"].mixed_tokens == 2 * supply and rows["d"].short and rows["d"].mixed_tokens == 0
@@ -94,6 +96,28 @@ def test_mix_reaches_its_targets(spark):
     assert M.mix_sources(sized.limit(0), weights).count() == 0
 
 
+@pytest.mark.parametrize("keep_sizes", [False, True])
+def test_dual_is_solved(spark, keep_sizes):
+    """The multipliers leave 0, and with them the rates meet the constraints: the dual's gradient vanishes."""
+    rng = np.random.default_rng(2)
+    docs = [(i, s, int(n)) for i, (s, n) in enumerate(zip(["a"] * 500 + ["b"] * 400 + ["c"] * 300, rng.lognormal(4, 1, 1200) + 1))]
+    sized = spark.createDataFrame(docs, "doc_id int, source string, tokens int")
+    total = sum(n for *_, n in docs)
+    weights = spark.createDataFrame([("a", 0.2, 3, total), ("b", 0.6, 4, total), ("c", 0.2, 1, total)], "source string, target_weight double, max_repeats int, budget_tokens long")
+    solved = M.balance(sized, weights, keep_sizes=keep_sizes)
+    state = {r.key: r for r in solved.state.collect()}
+    for r in solved.tilt.collect():
+        t = np.array([n for _, s, n in docs if s == r.key], float)
+        w = r.max_repeats / (1 + np.exp(-(r.a + r.b * t / r.mean)))
+        target = {"a": 0.2, "b": 0.6, "c": 0.2}[r.key] * total
+        assert abs((w * t).sum() - target) < 1e-5 * target and (w <= r.max_repeats).all() and not state[r.key].short
+        assert abs(state[r.key].b) + abs(state[r.key].c) > 0.01 and 1 < state[r.key].steps < 30
+        if keep_sizes:
+            assert abs((w * t).sum() / w.sum() / t.mean() - 1) < 1e-4
+        else:  # the tilt: the log odds are linear in the size, with the source's multiplier as slope
+            assert np.allclose(np.log(w / (r.max_repeats - w)), r.a + state[r.key].b * t / r.mean)
+
+
 # ---- proportions
 
 def test_swap_repair_ends_at_the_goal():
@@ -123,38 +147,56 @@ def test_pairs_of_a_text():
     assert R.pairs(t) == [("q1", "a1\na2"), ("q2", "open")] and R.pairs("no tags") == [] and R.pairs("") == []
 
 
+def sound_pairs(spark, texts):
+    rows = spark.read.parquet("/root/testdata/sf0.1/normalized.parquet").where("text is not null").orderBy("id").limit(texts).select("text").collect()
+    return [p for r in rows for p in R.pairs(r.text)]
+
+
+def over(model, rows):
+    return R.scores(model.weights, *R.features(rows, model.known)) - model.cuts
+
+
 @needs_tables
 def test_classifier_on_held_out_pairs(spark):
-    rows = spark.read.parquet("/root/testdata/sf0.1/normalized.parquet").where("text is not null").orderBy("id").limit(1500).select("text").collect()
-    pairs = [p for r in rows for p in R.pairs(r.text)]
+    """Whole families of refusals are held out: the classifier is tested on patterns that it was not fitted on."""
+    pairs = sound_pairs(spark, 1500)
     train, test = pairs[:2000], pairs[2000:2500]
-    weights, cuts, known = R.fit(train)
+    model = R.fit(train, families=slice(0, None, 2))
     whole = [(q, a) for q, a in test if len(a) > 80 and a.rstrip()[-1:] in ".!?。"]
     others = {"de": ["Wenn die Bilanz fehlt, bleibt die Steuer ohne Bedeutung. Nur die Aktie ändert sich."], "en": ["The loan is lent against the bond, and the interest shows why it is so."]}
     rng = np.random.default_rng(5)
-    made = [(d, q, b) for q, a in whole for d, b in R.broken(rng, q, a, others)]
-    said = R.scores(weights, [R.features(q, b, known) for _, q, b in made]) - cuts
-    right = [R.DEFECTS[s.argmax()] == d and s.max() >= 0 for (d, _, _), s in zip(made, said)]
-    assert np.mean(right) > 0.9
-    assert (R.scores(weights, [R.features(q, a, known) for q, a in whole]) - cuts).max(1).__ge__(0).mean() < 0.15
+    made = [(d, q, b) for q, a in whole for d, b in R.broken(rng, q, a, others, slice(1, None, 2))]
+    said = over(model, [(q, b) for _, q, b in made])
+    right = {d: np.mean([s[k] >= 0 for (e, _, _), s in zip(made, said) if e == d]) for k, d in enumerate(R.DEFECTS)}
+    assert min(right.values()) > 0.8, right
+    assert np.mean([R.DEFECTS[s.argmax()] == d and s.max() >= 0 for (d, _, _), s in zip(made, said)]) > 0.9, right
+    assert (over(model, whole).max(1) >= 0).mean() < 0.15
 
 
 @needs_tables
 def test_defects_after_long_beginnings(spark):
-    rows = spark.read.parquet("/root/testdata/sf0.1/normalized.parquet").where("text is not null").orderBy("id").limit(1000).select("text").collect()
-    weights, cuts, known = R.fit([p for r in rows for p in R.pairs(r.text)][:1500])
-    said = lambda q, a: (R.scores(weights, [R.features(q, a, known)]) - cuts)[0]
+    model = R.fit(sound_pairs(spark, 1000)[:1500])
     q = "How does a bond differ from a loan?"
     long = "This is one of those matters on which whole shelves of books have been filled. It helps to look at it from more than one side, with the common use of the words in mind and with some care for the cases in which they part. "
-    assert len(long) > 200
-    for end in ("I'm sorry, but I can't help with that.", "Unfortunately I am unable to provide a response here.", "I must decline to comment on this."):
-        s = said(q, long + end)
-        assert s.max() >= 0 and R.DEFECTS[s.argmax()] == "refusal"
-    words = [f"w{k}" for k in range(60)]
-    assert len(set(R.grams(words))) > len(set(R.grams(words[:30])))
+    assert len(long * 3) > 500
+    for end in ("I'm sorry, but I cannot answer this question.", "I am not able to help with that.", "I refuse to discuss this topic."):
+        for times in (1, 3):
+            s = over(model, [(q, long * times + end)])[0]
+            assert s.max() >= 0 and R.DEFECTS[s.argmax()] == "refusal", (end, times, s)
+    assert R.DEFECTS[over(model, [(q, long * 3 + "The bond is sold on a mar")])[0].argmax()] == "truncated"
+    words = " ".join(f"w{k}" for k in range(60))
+    assert R.features([("", words)], frozenset())[2][0] > R.features([("", words[:80])], frozenset())[2][0]
     points = ["1. The loan is given by a bank.", "2. The bond is sold on a market.", "3. The price of the bond moves."]
-    whole, cut = (R.features(q, long + "There are three points. \n" + "\n".join(points[:k]), known) for k in (3, 2))
-    assert R.code("points all") % R.SPACE in whole and R.code("points fewer") % R.SPACE in cut
+    whole, cut = (R.shape(q, long + "There are three points. \n" + "\n".join(points[:k]), frozenset())[0] for k in (3, 2))
+    assert "points all" in whole and "points fewer" in cut
+
+
+def test_threshold_between_precision_and_recall():
+    rng = np.random.default_rng(0)
+    cut = R.best_cut(rng.normal(4, 1, 1000), rng.normal(-4, 1, 4000), 0.05)
+    assert -1.5 < cut < 2 and R.best_cut(np.zeros(0), np.zeros(3), 0.1) == 0.0
+    high = R.best_cut(rng.normal(4, 1, 1000), rng.normal(2, 1, 4000), 0.05)  # not clipped
+    assert high > 3
 
 
 def test_pairs_of_awkward_rows(spark):
