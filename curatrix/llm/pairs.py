@@ -23,6 +23,8 @@ from curatrix.llm.languages import tongue
 
 DEFECTS = ("empty", "truncated", "refusal", "copy", "wrong_language")
 SPACE, NAMED = 1 << 18, 1 << 12
+#: Share of longer answers with a first person at their end that are taken to decline there.
+LATE = 0.02
 #: Fits one after the other, each but the last short.
 TURNS = 5
 #: Hashed features in all, the first of them for the named ones. Length of the n-grams of a pair together, against 1 for each pair feature.
@@ -116,6 +118,7 @@ OPTION = re.compile(r"^[A-H]\)", re.M)
 BARE = re.compile(r"\d{1,2}[.)、]|[-*•]")
 TERMINAL = frozenset(".!?。!?…")
 RULE = re.compile(r"\s*\|[-:| ]+\|\s*$")
+SENTENCE = re.compile(r"[.!?](?:\s+|$)|[。!?]")
 SLOT = re.compile(r"\{(\w+)\}")
 
 
@@ -123,6 +126,8 @@ class Model(NamedTuple):
     weights: np.ndarray
     cuts: np.ndarray
     known: frozenset[str]
+    #: The threshold for a refusal at the end of a longer answer.
+    late: float = 0.0
 
 
 def messages(text: str) -> Iterator[tuple[str, str | None, str]]:
@@ -303,6 +308,27 @@ def scores(weights: np.ndarray, feature: np.ndarray, value: np.ndarray, sizes: n
     return np.stack([np.add.reduceat(w[feature] * value, starts) for w in weights], 1)
 
 
+def ending(answer: str) -> str | None:
+    """The last two sentences of an answer that has more and in which a first person speaks at the end; else None."""
+    a = answer.rstrip()
+    stops = [m.end() for m in SENTENCE.finditer(a, 0, len(a) - 1)]
+    if len(stops) < 2:
+        return None
+    last = a[stops[-2] :]
+    return last if not FIRST.isdisjoint(WORDS.findall(last.lower())) else None
+
+
+def judge(model: Model, rows: list[tuple[str, str]]) -> np.ndarray:
+    """What the scores of each pair exceed the thresholds by. An answer that ends by declining has declined, whatever it began with, so its ending is scored for a refusal too."""
+    over = scores(model.weights, *features(rows, model.known)) - model.cuts
+    late = [(k, (q, e)) for k, (q, a) in enumerate(rows) if (e := ending(a)) is not None]
+    if late:
+        d = DEFECTS.index("refusal")
+        at = [k for k, _ in late]
+        over[at, d] = np.maximum(over[at, d], (scores(model.weights[d : d + 1], *features([p for _, p in late], model.known)) - model.late)[:, 0])
+    return over
+
+
 def pick(rng: np.random.Generator, xs: list):
     return xs[int(rng.integers(len(xs)))]
 
@@ -425,7 +451,10 @@ def fit(rows: list[tuple[str, str]], seed: int = 0, epochs: int = 4, most: int =
     out = np.flatnonzero(held)
     share = np.array([max(float((score[:n].argmax(1)[top >= 0] == d).sum()) / max(n, 1), 0.002) for d in range(len(DEFECTS))])
     cuts = np.array([best_cut(score[out[kind[out] == d], d], score[out[(kind[out] < 0) & use[out]], d], share[d]) for d in range(len(DEFECTS))], np.float32)
-    return Model(weights, cuts, known)
+    d = DEFECTS.index("refusal")
+    ends = [[(q, e) for q, a in of if (e := ending(a)) is not None] for of in ([x[:2] for x in made if x[2] == d], [r for r, u in zip(rows, use) if u])]
+    declined, went_on = (scores(weights[d : d + 1], *features(e, known))[:, 0] if e else np.zeros(0) for e in ends)
+    return Model(weights, cuts, known, max(float(cuts[d]), best_cut(declined, went_on, LATE)))
 
 
 def best_cut(broken: np.ndarray, sound: np.ndarray, share: float, precision: float = 0.9) -> float:
@@ -509,7 +538,7 @@ def broken_pairs(df: DataFrame, id_col: str = "id", text: str = "text", sample:
                 for i, t in zip(b.column("id").to_pylist(), b.column("text").to_pylist()):
                     for n, p in enumerate(pairs(t), 1):
                         ids.append(i), numbers.append(n), rows.append(p)
-                over = scores(m.weights, *features(rows, m.known)) - m.cuts if rows else np.zeros((0, len(DEFECTS)))
+                over = judge(m, rows) if rows else np.zeros((0, len(DEFECTS)))
                 best = over.argmax(1) if len(over) else np.zeros(0, int)
                 hit = np.flatnonzero(over[np.arange(len(over)), best] >= 0)
                 yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in hit], pa.string()), pa.array([numbers[k] for k in hit], pa.int32()), pa.array([DEFECTS[best[k]] for k in hit], pa.string())], names=["id", "pair_no", "defect"])

@@ -153,7 +153,7 @@ def sound_pairs(spark, texts):
 
 
 def over(model, rows):
-    return R.scores(model.weights, *R.features(rows, model.known)) - model.cuts
+    return R.judge(model, rows)
 
 
 @needs_tables
