@@ -4,11 +4,11 @@
    copies count once for the density; the core similarity of a vector is that of its ``neighbours``-th distinct
    neighbour, and the mutual reachability of two vectors the least of both cores and their cosine. A spanning tree of
    each cell holds all that the cell can add to the spanning tree of the whole.
-2. Boruvka rounds join the components over their best edges, from the most similar level down, which yields the
-   hierarchy level by level; components below the least size fall out of it (condensed hierarchy).
-3. Excess of mass: a component is kept where its stability exceeds that of all its parts together.
-4. The kept components are held against the definition of a cluster: cosine to the own mean direction, to the others.
-5. Clusters too loose for the levels of the hierarchy are sought among the vectors that no mean direction reached.
+2. Boruvka rounds join the trees of all cells to the spanning tree of the whole.
+3. The whole tree is condensed: components below the least size are rows that join or leave a cluster; and the clusters
+   with the greatest stability (excess of mass) are chosen.
+4. The chosen clusters are checked: those of which one holds a row within ``other`` of the mean direction of another are
+   one, and rows further than ``own`` from the mean direction of their cluster are left out.
 """
 
 from __future__ import annotations
@@ -17,119 +17,90 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from curatrix.llm.neighbours import long_ids, post
+from curatrix.llm.tree import condense, select_stable, spanning_tree
 from curatrix.llm.vectors import DIM, matrix, pick_pivots, pivot_count, unit, unpack, usable_rows
 from curatrix.session import cut_lineage
 
-#: Rows of a cell that are compared at once; a larger cell is cut along the order of its next pivots.
-CELL = 3072
+#: Rows of a cell up to which all its similarities are held at once; those of a larger cell are computed row by row.
+CELL, BLOCK = 3072, 256
 NEVER = -2.0
-#: Vectors out of reach of all clusters that are compared at once, and rows a cell has on average where there are more.
-LEFT, LEFT_CELL = 16_384, 4096
-#: A round of Boruvka follows up to 2 ** DOUBLINGS choices from each component.
-DOUBLINGS = 2
+#: Mean directions that rows are compared with at once (8 MB), and labels that are sent to all executors (32 MB).
+MEANS, LABELS = 8192, 2_000_000
 
 
-def cell_tree(x: np.ndarray, neighbours: int, copies: float, least_size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, row, mutual reachability) of a maximum spanning tree of unit rows, and the core similarity of each row.
+def leaders(x: np.ndarray, copies: float) -> np.ndarray:
+    """For each row the first row within ``copies`` of it that follows no other itself."""
+    n = len(x)
+    leader = np.full(n, -1)
+    for s in range(0, n, BLOCK):
+        sim = x[s : s + BLOCK] @ x.T
+        for i in range(s, min(n, s + BLOCK)):
+            if leader[i] < 0:
+                mine = (sim[i - s] >= copies) & (leader < 0)
+                mine[i] = True
+                leader[mine] = i
+    return leader
+
+
+def cell_tree(x: np.ndarray, neighbours: int, copies: float, least_size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, row, mutual reachability) of a greatest spanning tree of unit rows.
 
     Rows within ``copies`` of an earlier leader hang on to it at its core similarity and don't count as neighbours; but
     ``least_size`` of them or more are dense by themselves and hang on at their likeness.
     """
     n = len(x)
-    sim = x @ x.T
-    leader = np.full(n, -1)
-    for i in range(n):
-        if leader[i] < 0:
-            mine = (sim[i] >= copies) & (leader < 0)
-            mine[i] = True
-            leader[mine] = i
+    leader = leaders(x, copies)
     heads = np.flatnonzero(leader == np.arange(n))
-    s = sim[np.ix_(heads, heads)]
-    np.fill_diagonal(s, NEVER)
-    h = len(heads)
+    y, h = x[heads], len(heads)
+    whole = y @ y.T if h <= CELL else None
     k = min(neighbours, h - 1)
-    core_h = np.partition(s, h - k, axis=1)[:, h - k] if k > 0 else np.full(h, NEVER, np.float32)
-    if k < neighbours:
-        core_h = np.full(h, NEVER, np.float32)
-    core = np.full(n, NEVER, np.float32)
-    core[heads] = core_h
-    core = core[leader]
+    core_h = np.full(h, NEVER, np.float32)
+    if k == neighbours:
+        for s in range(0, h, BLOCK):
+            sim = whole[s : s + BLOCK].copy() if whole is not None else y[s : s + BLOCK] @ y.T
+            sim[np.arange(len(sim)), np.arange(s, s + len(sim))] = NEVER
+            core_h[s : s + BLOCK] = np.partition(sim, h - k, axis=1)[:, h - k]
     many = np.bincount(leader, minlength=n)[leader] >= least_size
-    core = np.where(many, np.maximum(core, sim[np.arange(n), leader]), core)
     rest = np.flatnonzero(leader != np.arange(n))
-    us, vs, ws = [rest], [leader[rest]], [core[rest]]
+    core = np.zeros(n, np.float32)
+    core[heads] = core_h
+    hang = core[leader[rest]]
+    hang = np.where(many[rest], np.maximum(hang, np.einsum("ij,ij->i", x[rest], x[leader[rest]])), hang)
+    us, vs, ws = [rest], [leader[rest]], [hang]
     if h > 1:
-        reach = np.minimum(np.minimum(s, core_h[:, None]), core_h[None, :])
-        best, to = reach[0].copy(), np.zeros(h, int)
+        best, to = np.full(h, -9, np.float32), np.zeros(h, int)
         done = np.zeros(h, bool)
-        done[0], best[0] = True, -9
         a, b, w = np.empty(h - 1, int), np.empty(h - 1, int), np.empty(h - 1, np.float32)
+        i = 0
         for t in range(h - 1):
+            done[i], best[i] = True, -9
+            reach = np.minimum(np.minimum(whole[i] if whole is not None else y @ y[i], core_h[i]), core_h)
+            better = (reach > best) & ~done
+            best[better], to[better] = reach[better], i
             i = int(best.argmax())
             a[t], b[t], w[t] = i, to[i], best[i]
-            done[i] = True
-            better = (reach[i] > best) & ~done
-            best[better], to[better] = reach[i][better], i
-            best[i] = -9
         us.append(heads[a]), vs.append(heads[b]), ws.append(w)
-    return np.concatenate(us), np.concatenate(vs), np.concatenate(ws), core
+    return np.concatenate(us), np.concatenate(vs), np.concatenate(ws)
 
 
-def reachability_edges(cells: DataFrame, neighbours: int, copies: float, least_size: int, dim: int) -> DataFrame:
-    """(u, v, s) by node number: the spanning trees of all cells; a row (u, u, core) gives each node's core similarity."""
+def reachability_edges(cells: DataFrame, neighbours: int, copies: float, least_size: int, floor: float, dim: int) -> DataFrame:
+    """(u, v, s) by node number: the spanning trees of all cells, down to ``floor``."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         node = np.array([int(i, 16) for i in long_ids(table.column("id").to_pylist())], np.uint64).astype(np.int64)
-        perm = np.frombuffer(b"".join(table.column("perm").to_pylist()), np.int16).reshape(len(node), -1)
-        at = np.unique(node, return_index=True)[1]
-        at = at[np.lexsort((node[at], *perm[at][:, ::-1].T))]
-        us, vs, ws = [], [], []
-        parts = np.array_split(at, -(-len(at) // CELL))
-        for part in parts:
-            x = unit(unpack(table.column("vec").take(pa.array(part)).combine_chunks(), dim))
-            u, v, w, core = cell_tree(x, neighbours, copies, least_size)
-            names = node[part]
-            keep = w > NEVER
-            us += [names[u[keep]], names]
-            vs += [names[v[keep]], names]
-            ws += [w[keep], core]
-        u, v, w = np.concatenate(us), np.concatenate(vs), np.concatenate(ws)
-        return pa.table({"u": pa.array(u), "v": pa.array(v), "s": pa.array(w.astype(np.float64))})
+        node, at = np.unique(node, return_index=True)
+        u, v, w = cell_tree(unit(unpack(table.column("vec").take(pa.array(at)).combine_chunks(), dim)), neighbours, copies, least_size)
+        keep = w >= floor
+        return pa.table({"u": pa.array(node[u[keep]]), "v": pa.array(node[v[keep]]), "s": pa.array(w[keep].astype(np.float64))})
 
     return cells.groupBy("file").applyInArrow(run, "u long, v long, s double")
 
 
-def boruvka_step(edges: DataFrame) -> DataFrame:
-    """(c, root): each component takes its best edge; the trees of these choices become one component each.
-
-    ``edges`` has one row (a, b, s) with a < b per pair. Equal edges are ordered by their ends, so the choices form no
-    cycle but pairs that choose each other, of which the smaller is the root. Chains are followed through
-    2 ** ``DOUBLINGS`` choices; components further from their root stay as they are until the next round.
-    """
-    both = edges.select(F.col("a").alias("c"), F.col("b").alias("p"), "s", "a", "b").unionByName(edges.select(F.col("b").alias("c"), F.col("a").alias("p"), "s", "a", "b"))
-    choice = cut_lineage(both.groupBy("c").agg(F.max(F.struct("s", "a", "b", "p")).alias("e")).select("c", "e.p"))
-    other = choice.select(F.col("c").alias("p"), F.col("p").alias("pp"))
-    up = choice.join(other, "p").select("c", F.when((F.col("pp") == F.col("c")) & (F.col("c") < F.col("p")), F.col("c")).otherwise(F.col("p")).alias("root"))
-    for _ in range(DOUBLINGS):
-        up = up.join(up.select(F.col("c").alias("root"), F.col("root").alias("next")), "root").select("c", F.col("next").alias("root"))
-    up = cut_lineage(up)
-    roots = up.where("c = root").select("root")
-    return up.join(roots, "root", "left_semi").select("c", "root")
-
-
-def relabel(edges: DataFrame, moved: DataFrame) -> DataFrame:
-    """The edges between different components after ``moved`` (c, root), the best of each pair."""
-    a = moved.select(F.col("c").alias("a"), F.col("root").alias("ra"))
-    b = moved.select(F.col("c").alias("b"), F.col("root").alias("rb"))
-    e = edges.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ra", "a").alias("x"), F.coalesce("rb", "b").alias("y"), "s")
-    return e.where(F.col("x") != F.col("y")).groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.max("s").alias("s"))
-
-
 def density_clusters(
     df: DataFrame,
     id_col: str = "id",
@@ -140,16 +111,18 @@ def density_clusters(
     other: float = 0.4,
     neighbours: int = 3,
     copies: float = 0.8,
-    levels: tuple[float, ...] = (0.6, 0.5, 0.45, 0.4, 0.35),
+    floor: float | None = None,
     posts: int = 3,
     pivots: int | None = None,
     seed: int = 0,
 ) -> DataFrame:
     """(id, cluster, own_cosine, persistence) of the members of all clusters; :func:`describe` sums the clusters up.
 
-    A cluster has ``least_size`` ids or more; each member has a cosine of ``own`` or more to the mean direction of its
-    cluster and less than ``other`` to that of any other. ``levels`` are the similarities at which the hierarchy is
-    cut; ``persistence`` is the similarity down to which a member stays in the tree (its core similarity).
+    The clusters are the most stable ones of the condensed hierarchy down to ``floor``; unless given that is ``own``
+    squared, which is how alike rows are that have a cosine of ``own`` to one direction. Parts that meet at ``other`` or
+    more aren't apart. A cluster has ``least_size`` ids or more, each with a cosine of ``own`` or more to its mean
+    direction, and none has ``other`` or more to that of another (:func:`checked`). ``persistence`` is the similarity down
+    to which a member stays in the tree.
 
     Ids that belong to no cluster don't come out. Unusable vectors and null ids are left out, repeated rows of an id
     count once, exact copies are members like any others. Empty input gives empty results.
@@ -157,338 +130,116 @@ def density_clusters(
     spark = df.sparkSession
     rows = df.select(id_col).count()
     vectors = usable_rows(df, id_col, vec_col, dim)
-    piv = pick_pivots(vectors, pivots or pivot_count(rows), seed)
+    piv = pick_pivots(vectors, pivots or pivot_count(rows), rows, seed)
     if not len(piv):
         return spark.createDataFrame([], "id string, cluster long, own_cosine double, persistence double")
+    floor = own * own if floor is None else floor
     numbered = vectors.select(F.lower(F.lpad(F.hex(F.xxhash64("id")), 16, "0")).alias("id"), "vec")
-    cells = post(numbered, piv, posts, 8, dim)
-    tree = cut_lineage(reachability_edges(cells, neighbours, copies, least_size, dim))
-    cores = tree.where("u = v").groupBy(F.col("u").alias("node")).agg(F.max("s").alias("core"))
-    edges = cut_lineage(
-        tree.where(f"u <> v and s >= {min(levels)}").groupBy(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).agg(F.max("s").alias("s"))
-    )
-    # the many small plans of the rounds cost the driver more to compile than their rows to run
-    whole = spark.conf.get("spark.sql.codegen.wholeStage")
-    spark.conf.set("spark.sql.codegen.wholeStage", "false")
-    try:
-        chosen = hierarchy(edges, least_size, levels)
-    finally:
-        spark.conf.set("spark.sql.codegen.wholeStage", whole)
-    chosen = chosen.join(cores, "node")
-    found = refine(spark, vectors, chosen, least_size, own, other, neighbours, copies, dim)
-    # repeated rows of an id: the nearer one counts
-    one = found.groupBy("id").agg(F.max(F.struct("own_cosine", "cluster")).alias("m")).select("id", "m.cluster", "m.own_cosine")
-    members = one.join(cores.withColumnRenamed("core", "persistence"), F.xxhash64("id") == F.col("node"), "left").select("id", "cluster", "own_cosine", "persistence")
-    return members
-
-
-def describe(members: DataFrame, typical: int = 5) -> DataFrame:
-    """(cluster, size, typical): the size of each cluster and its most persistent members."""
-    w = Window.partitionBy("cluster").orderBy(F.desc("persistence"), F.desc("own_cosine"), "id")
-    first = members.withColumn("r", F.row_number().over(w)).where(F.col("r") <= typical)
-    names = first.groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("r", "id"))).alias("t")).select("cluster", F.col("t.id").alias("typical"))
-    return members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).join(names, "cluster").select("cluster", "size", "typical")
-
-
-def hierarchy(edges: DataFrame, least_size: int, levels: tuple[float, ...]) -> DataFrame:
-    """(node, cluster): the components of the condensed hierarchy with the greatest stability.
-
-    A component's mass at a level is its size times the density gained to the next level. Where two or more components
-    of the least size meet, each keeps the greater of its own mass and that of its parts, and a new component begins.
-    """
-    spark = edges.sparkSession
-    # state of the components that are large enough: size, own mass so far, the best mass of the parts, the chain's name
-    steps: list[DataFrame] = []
-    finished: list[DataFrame] = []
-    sizes = None
-    state = None
-    for i, level in enumerate(levels):
-        moved_all = None
-        while True:
-            now = edges.where(F.col("s") >= level)
-            if not now.limit(1).count():
-                break
-            moved = cut_lineage(boruvka_step(now))
-            edges = cut_lineage(relabel(edges, moved))
-            moved_all = moved if moved_all is None else follow(moved_all, moved)
-        if moved_all is not None:
-            moved_all = cut_lineage(moved_all)
-            grown = moved_all.where("c <> root")
-            steps.append(grown)
-            new = grown.join(sizes, F.col("c") == F.col("node"), "left").groupBy("root").agg(F.sum(F.coalesce("size", F.lit(1))).alias("more")) if sizes is not None else grown.groupBy("root").agg(F.count(F.lit(1)).alias("more"))
-            new = new.select(F.col("root").alias("node"), "more")
-            if sizes is None:
-                sizes = new.select("node", (F.col("more") + 1).alias("size"))
-            else:
-                gone = grown.select(F.col("c").alias("node"))
-                sizes = sizes.join(gone, "node", "left_anti").join(new, "node", "full").select("node", (F.coalesce("size", F.lit(1)) + F.coalesce("more", F.lit(0))).alias("size"))
-            sizes = cut_lineage(sizes)
-        else:
-            steps.append(None)
-        if sizes is None:
-            continue
-        gain = density(level) - density(levels[i + 1] if i + 1 < len(levels) else level - 0.05)
-        large = sizes.where(F.col("size") >= least_size)
-        if state is None:
-            state = large.select("node", "size", (F.col("size") * gain).alias("own"), F.lit(0.0).alias("parts"), F.lit(i).alias("born"))
-        else:
-            at = state.join(steps[-1].withColumnRenamed("c", "node"), "node", "left").withColumn("up", F.coalesce("root", "node")) if steps[-1] is not None else state.withColumn("up", F.col("node"))
-            met = at.groupBy("up").agg(F.count(F.lit(1)).alias("n"), F.first("own").alias("own"), F.first("parts").alias("parts"), F.sum(F.greatest("own", "parts")).alias("all"), F.first("born").alias("born"))
-            ended = at.select("node", "up", "own", "parts", "born").join(met.where("n > 1").select("up"), "up", "left_semi")
-            finished.append(ended.select("node", "own", "parts", F.lit(i - 1).alias("last")))
-            state = large.join(met, F.col("node") == F.col("up"), "left").select(
-                "node",
-                "size",
-                (F.when(F.col("n") == 1, F.col("own")).otherwise(0.0) + F.col("size") * gain).alias("own"),
-                F.when(F.col("n") == 1, F.col("parts")).when(F.col("n") > 1, F.col("all")).otherwise(0.0).alias("parts"),
-                F.when(F.col("n") == 1, F.col("born")).otherwise(F.lit(i)).alias("born"),
-            )
-        state = cut_lineage(state)
-    if state is None:
-        return spark.createDataFrame([], "node long, cluster long")
-    finished.append(state.select("node", "own", "parts", F.lit(len(levels) - 1).alias("last")))
-    ends = finished[0]
-    for more in finished[1:]:
-        ends = ends.unionByName(more)
-    ends = cut_lineage(ends.where(F.col("own") >= F.col("parts")).select("node", "last"))
-    # from the top: a chain is taken where its own mass is the greater and none above it was
-    taken = spark.createDataFrame([], "node long, cluster long")
-    for i in range(len(levels) - 1, -1, -1):
-        here = ends.where(F.col("last") == i).select("node", F.col("node").alias("cluster"))
-        taken = taken.unionByName(here.join(taken.select("node"), "node", "left_anti"))
-        if steps[i] is not None:
-            below = steps[i].join(taken.withColumnRenamed("node", "root"), "root").select(F.col("c").alias("node"), "cluster")
-            taken = cut_lineage(taken.unionByName(below))
-    return taken
-
-
-def density(similarity: float) -> float:
-    """One over the Euclidean distance of unit vectors with this cosine."""
-    return 1.0 / max(2.0 - 2.0 * similarity, 1e-6) ** 0.5
-
-
-def follow(first: DataFrame, then: DataFrame) -> DataFrame:
-    """The two moves (c, root) after each other."""
-    second = then.select(F.col("c").alias("root"), F.col("root").alias("next"))
-    moved = first.join(second, "root", "left").select("c", F.coalesce("next", "root").alias("root"))
-    return moved.unionByName(then.join(first.select("c"), "c", "left_anti"))
-
-
-def add_up(parts: DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(names, sums, counts) of partial sums (cluster, n, part), added up where they lie; one row a cluster comes to the driver."""
-
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(b, np.float64) for b in table.column("part").to_pylist())
-        return pa.table({"cluster": table.column("cluster").slice(0, 1), "n": pa.array([sum(table.column("n").to_pylist())], pa.int64()), "part": pa.array([total.tobytes()], pa.binary())})
-
-    got = parts.groupBy("cluster").applyInArrow(add, "cluster long, n long, part binary").toArrow()
-    names = got.column("cluster").to_numpy()
-    sums = np.array([np.frombuffer(b, np.float64) for b in got.column("part").to_pylist()]).reshape(len(names), dim)
-    order = np.argsort(names)
-    return names[order], sums[order], got.column("n").to_numpy()[order]
+    edges = reachability_edges(post(numbered, piv, posts, posts, dim, rows), neighbours, copies, least_size, floor, dim)
+    joined, clusters = condense(spanning_tree(edges), least_size, floor)
+    chosen = clusters.groupBy(F.lit("").alias("all")).applyInArrow(lambda t: select_stable(t, other), "cluster long, chosen long")
+    labels = cut_lineage(joined.join(chosen, "cluster").where("chosen >= 0").select(F.col("row").alias("node"), F.col("chosen").alias("cluster"), F.col("level").alias("persistence")))
+    return checked(vectors, labels, least_size, own, other, dim)
 
 
-def sums_batch(names: dict[int, tuple[int, np.ndarray]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(list(names), pa.int64()), pa.array([n for n, _ in names.values()], pa.int64()), pa.array([v.tobytes() for _, v in names.values()], pa.binary())], names=["cluster", "n", "part"]
-    )
-
-
-def seed_directions(vectors: DataFrame, members: DataFrame, dim: int, most: int = 64) -> np.ndarray:
-    """Unit mean directions of the ``most`` most persistent members (node, cluster, core) of each cluster."""
-    first = Window.partitionBy("cluster").orderBy(F.desc("core"), "node")
-    seeds = cut_lineage(members.withColumn("r", F.row_number().over(first)).where(F.col("r") <= most).select("node", "cluster"))
+def mean_directions(members: DataFrame, dim: int) -> DataFrame:
+    """(cluster, n, mean) of the rows (cluster, vec), added up in each task before they meet."""
 
     def partial(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, tuple[int, np.ndarray]] = {}
         for b in batches:
             if b.num_rows:
                 x, c = unit(matrix(b.column("vec"), dim)), b.column("cluster").to_numpy()
-                for name in np.unique(c):
-                    n, v = sums.get(int(name), (0, 0))
-                    sums[int(name)] = n + int((c == name).sum()), v + x[c == name].sum(0, dtype=np.float64)
-        if sums:
-            yield sums_batch(sums)
-
-    small = seeds.count() <= 200_000  # 16 bytes each
-    parts = vectors.withColumn("node", F.xxhash64("id")).join(F.broadcast(seeds) if small else seeds, "node").select("vec", "cluster").mapInArrow(partial, "cluster long, n long, part binary")
-    return directions(add_up(parts, dim)[1])
-
-
-def directions(sums: np.ndarray) -> np.ndarray:
-    return unit(sums.astype(np.float32)) if len(sums) else sums.astype(np.float32)
-
-
-def joined(count: int, pairs: set[tuple[int, int]]) -> np.ndarray:
-    """The group of each of ``count`` clusters when those in ``pairs`` belong together."""
-    group = np.arange(count)
-    for a, b in sorted(pairs):
-        group[group == group[b]] = group[a]
-    return group
+                order = np.argsort(c, kind="stable")
+                names, starts = np.unique(c[order], return_index=True)
+                sums = np.add.reduceat(x[order].astype(np.float64), starts, axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.diff(np.append(starts, len(c)))), pa.array([r.tobytes() for r in sums], pa.binary())], names=["cluster", "n", "part"])
 
+    def add(table: pa.Table) -> pa.Table:
+        total = np.frombuffer(b"".join(table.column("part").to_pylist()), np.float64).reshape(-1, dim).sum(0, keepdims=True)
+        return pa.table({"cluster": table.column("cluster").slice(0, 1), "n": pa.array([sum(table.column("n").to_pylist())], pa.int64()), "mean": pa.array([unit(total.astype(np.float32)).tobytes()], pa.binary())})
 
-def settle(vectors: DataFrame, means: np.ndarray, least_size: int, own: float, other: float, dim: int, rounds: int) -> np.ndarray:
-    """The mean directions after the passes of :func:`refine` over ``vectors``."""
-    spark = vectors.sparkSession
-    before = None
-    for _ in range(rounds):
-        if not len(means):
-            break
-        sent = spark.sparkContext.broadcast(means)  # one row a cluster
-
-        def count_up(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            m = sent.value
-            c = len(m)
-            sums, sizes, clash = np.zeros((c, dim)), np.zeros(c, int), np.zeros((c, c), bool) if c <= 4096 else {}
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                x = unit(matrix(b.column("vec"), dim))
-                cos = x @ m.T
-                best = cos.argmax(1)
-                top = cos[np.arange(len(x)), best]
-                mine = np.flatnonzero(top >= own)
-                x, cos, best = x[mine], cos[mine], best[mine]
-                np.add.at(sums, best, x)
-                sizes += np.bincount(best, minlength=c)
-                cos[np.arange(len(x)), best] = NEVER
-                q, j = np.nonzero(cos >= other)
-                if isinstance(clash, dict):
-                    clash.update(dict.fromkeys(zip(best[q].tolist(), j.tolist())))
-                else:
-                    clash[best[q], j] = True
-            out = {int(k): (int(sizes[k]), sums[k]) for k in np.flatnonzero(sizes)}
-            pairs = list(clash) if isinstance(clash, dict) else np.argwhere(clash).tolist()
-            out |= {-1 - int(a) * c - int(b): (0, np.zeros(dim)) for a, b in pairs}
-            if out:
-                yield sums_batch(out)
-
-        names, sums, sizes = add_up(vectors.select("vec").mapInArrow(count_up, "cluster long, n long, part binary"), dim)
-        c = len(means)
-        pairs = {((-1 - int(k)) // c, (-1 - int(k)) % c) for k in names[names < 0]}
-        here = np.flatnonzero(names >= 0)
-        group = joined(c, pairs)[names[here]]
-        total = np.array([sums[here][group == g].sum(0) for g in np.unique(group)]).reshape(-1, dim)
-        size = np.array([sizes[here][group == g].sum() for g in np.unique(group)])
-        means = directions(total[size >= least_size])
-        now = (len(means), tuple(size[size >= least_size]))
-        if now == before and not pairs:
-            break
-        before = now
-    return means
+    # a task sends one row a cluster and batch, so that what meets follows the batches, not the rows
+    return members.select("cluster", "vec").mapInArrow(partial, "cluster long, n long, part binary").groupBy("cluster").applyInArrow(add, "cluster long, n long, mean binary")
 
 
-def loose_seeds(x: np.ndarray, least_size: int, own: float, neighbours: int, copies: float) -> np.ndarray:
-    """Directions with ``least_size`` or more of the unit rows within ``own``: climbed to from each row.
+def checked(vectors: DataFrame, labels: DataFrame, least_size: int, own: float, other: float, dim: int) -> DataFrame:
+    """(id, cluster, own_cosine, persistence) of the labels (node, cluster, persistence) that hold.
 
-    Rows with a cosine of ``own`` to a common direction are about ``own`` squared alike, so a climb begins with those
-    and draws the bound up to ``own``. In most rows of a found group ``neighbours`` distinct others are so like; near
-    copies (``copies``) count once in this, so that a few unrelated groups of copies are no cluster.
-    """
-    n, low = len(x), own * own
-    block = max(1, min(1024, (1 << 24) // max(n, 1)))
-    found: list[tuple[int, np.ndarray]] = []
-    for s in range(0, n, block):
-        m = x[s : s + block]
-        for t in (low, (low + own) / 2, own, own, own, own):
-            q, d = np.nonzero(m @ x.T >= t)
-            sizes = np.bincount(q, minlength=len(m))
-            here = sizes >= least_size
-            q, d = q[here[q]], d[here[q]]
-            if not len(q):
-                m = m[:0]
-                break
-            m = unit(np.add.reduceat(x[d], np.flatnonzero(np.r_[True, q[1:] != q[:-1]]), axis=0))
-            m = m[np.sort(np.unique(np.round(m, 3), axis=0, return_index=True)[1])]
-        for v in m:
-            if all(v @ f < copies for _, f in found):
-                y = x[x @ v >= own]
-                sim = y @ y.T
-                leads = [i for i in range(len(y)) if not (sim[i, :i] >= copies).any()]
-                near = ((sim[:, leads] >= low) & (sim[:, leads] < copies)).sum(1)
-                if len(y) >= least_size and (np.median(near) >= neighbours or (sim >= copies).sum(1).max() >= least_size):
-                    found.append((len(y), v))
-    return np.array([v for _, v in found], np.float32).reshape(-1, x.shape[1])
-
-
-def loose_clusters(vectors: DataFrame, means: np.ndarray, least_size: int, own: float, other: float, neighbours: int, copies: float, dim: int, rounds: int) -> np.ndarray:
-    """Mean directions of further clusters, among the vectors with a cosine below ``other`` to all ``means``.
-
-    Up to ``LEFT`` such vectors are compared all with all, more of them in the cells of their five nearest pivots. A
-    cluster is added if it holds against the definition: neither a member of another nor an id outside reaches
-    ``other`` to its mean direction.
+    Clusters of which one has a row with a cosine of ``other`` or more to the mean direction of another are joined, until
+    there are none. Then rows below ``own`` to the mean direction of their cluster go, and clusters that are left with
+    fewer than ``least_size`` ids. Means are compared in blocks of ``MEANS``.
     """
     spark = vectors.sparkSession
-    none = np.zeros((0, dim), np.float32)
-    sent = spark.sparkContext.broadcast(means.reshape(-1, dim).astype(np.float32))
-
-    def unreached(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                cos = unit(matrix(b.column("vec"), dim)) @ sent.value.T
-                yield b.filter(pa.array(cos.max(1, initial=NEVER) < other))
-
-    left = cut_lineage(vectors.select("id", "vec").mapInArrow(unreached, "id string, vec array<float>").dropDuplicates(["id", "vec"]))
-    count = left.count()
-    if count < least_size:
-        return none
-    piv = pick_pivots(left, 1 if count <= LEFT else min(8192, -(-5 * count // LEFT_CELL)))
-
-    def climb(table: pa.Table) -> pa.Table:
-        x = unit(unpack(table.column("vec").combine_chunks(), dim))
-        return pa.table({"vec": pa.array(list(loose_seeds(x, least_size, own, neighbours, copies)), pa.list_(pa.float32()))})
-
-    got = post(left, piv, 5, 8, dim).groupBy("file").applyInArrow(climb, "vec array<float>").toArrow()
-    if not got.num_rows:
-        return none
-    seeds = none
-    for v in matrix(got.column("vec"), dim):  # a cluster met in several cells
-        if not (seeds @ v >= copies).any():
-            seeds = np.concatenate([seeds, v[None]])
-    found = settle(left, seeds, least_size, own, other, dim, rounds)
-    if not len(found):
-        return none
-    new = spark.sparkContext.broadcast(found)
-
-    def against(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bad = np.zeros(len(new.value), bool)
-        for b in batches:
-            if b.num_rows:
-                x = unit(matrix(b.column("vec"), dim))
-                cos = x @ new.value.T
-                reached = cos >= other
-                mine = (cos >= own) & (cos == cos.max(1, keepdims=True)) & ((x @ sent.value.T).max(1, initial=NEVER) < other)[:, None]
-                bad |= (reached & ~mine).any(0)
-        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(bad))], names=["k"])
+    while True:
+        small = labels.count() <= LABELS
+        members = vectors.withColumn("node", F.xxhash64("id")).join(F.broadcast(labels) if small else labels, "node")
+        means = cut_lineage(mean_directions(members, dim))
+        names = np.sort(means.select("cluster").toArrow().column("cluster").to_numpy())  # one number a cluster
+        met: set[tuple[int, int]] = set()
+        near = None
+        for s in range(0, len(names), MEANS):
+            block = means.where(F.col("cluster").between(int(names[s]), int(names[min(len(names), s + MEANS) - 1]))).toArrow()
+            sent = spark.sparkContext.broadcast((block.column("cluster").to_numpy(), np.frombuffer(b"".join(block.column("mean").to_pylist()), np.float32).reshape(-1, dim)))
+
+            def compare(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+                at, m = sent.value
+                seen: set[tuple[int, int]] = set()
+                for b in batches:
+                    if b.num_rows:
+                        c = b.column("cluster").to_numpy()
+                        cos = unit(matrix(b.column("vec"), dim)) @ m.T
+                        mine = c[:, None] == at[None, :]
+                        q, j = np.nonzero((cos >= other) & ~mine)
+                        new = set(zip(c[q].tolist(), at[j].tolist())) - seen
+                        seen |= new
+                        q, j = np.nonzero(mine)
+                        keep = pa.array(q)
+                        k, n = len(q), len(new)
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                pa.array(b.column("id").take(keep).to_pylist() + [None] * n, pa.string()),
+                                pa.array(c[q].tolist() + [a for a, _ in new], pa.int64()),
+                                pa.array([None] * k + [o for _, o in new], pa.int64()),
+                                pa.array(cos[q, j].astype(float).tolist() + [None] * n, pa.float64()),
+                                pa.array(b.column("persistence").take(keep).to_pylist() + [None] * n, pa.float64()),
+                            ],
+                            names=["id", "cluster", "met", "cosine", "persistence"],
+                        )
+
+            found = members.select("id", "vec", "cluster", "persistence").mapInArrow(compare, "id string, cluster long, met long, cosine double, persistence double")
+            near = found if near is None else near.unionByName(found)
+        if near is None:
+            return spark.createDataFrame([], "id string, cluster long, own_cosine double, persistence double")
+        near = cut_lineage(near)
+        met = [(r.cluster, r.met) for r in near.where("met is not null").select("cluster", "met").distinct().orderBy("cluster", "met").collect()]  # pairs of clusters, not of rows
+        if not met:
+            break
+        group = dict(zip(names.tolist(), names.tolist()))
 
-    bad = [r.k for r in vectors.select("vec").mapInArrow(against, "k long").distinct().collect()]
-    return np.delete(found, bad, axis=0)
+        def top(c: int) -> int:
+            while group[c] != c:
+                group[c] = group[group[c]]
+                c = group[c]
+            return c
 
+        for a, b in met:
+            group[max(top(a), top(b))] = min(top(a), top(b))
+        moves = spark.createDataFrame([(c, top(c)) for c in group if top(c) != c], "cluster long, into long")
+        labels = cut_lineage(labels.join(F.broadcast(moves), "cluster", "left").select("node", F.coalesce("into", "cluster").alias("cluster"), "persistence"))
+    # of repeated rows of an id the nearer one counts
+    held = near.where(F.col("cosine") >= own).groupBy("id").agg(F.max(F.struct("cosine", "cluster", "persistence")).alias("m")).select("id", "m.cluster", F.round("m.cosine", 6).alias("own_cosine"), "m.persistence")
+    large = held.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_size).select("cluster")
+    return cut_lineage(held).join(F.broadcast(cut_lineage(large)), "cluster", "left_semi").select("id", "cluster", "own_cosine", "persistence")
 
-def refine(spark: SparkSession, vectors: DataFrame, members: DataFrame, least_size: int, own: float, other: float, neighbours: int, copies: float, dim: int, rounds: int = 8) -> DataFrame:
-    """The clusters of the hierarchy held against the definition, by passes over all vectors.
 
-    A pass gives each vector to the cluster of its nearest mean direction, if the cosine is ``own`` or more. Clusters
-    to which a member of another has a cosine of ``other`` or more are one; clusters that are too small go. The passes
-    end when nothing changes. What no cluster reaches is then searched for looser ones (:func:`loose_clusters`).
-    """
-    means = settle(vectors, seed_directions(vectors, members, dim), least_size, own, other, dim, rounds)
-    more = loose_clusters(vectors, means, least_size, own, other, neighbours, copies, dim, rounds)
-    means = np.concatenate([means.reshape(-1, dim), more]).astype(np.float32)
-    if not len(means):
-        return spark.createDataFrame([], "id string, cluster long, own_cosine double")
-    sent = spark.sparkContext.broadcast(means)
-
-    def assign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                cos = unit(matrix(b.column("vec"), dim)) @ sent.value.T
-                best = cos.argmax(1)
-                top = cos[np.arange(len(cos)), best]
-                mine = np.flatnonzero(top >= own)
-                yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(mine)), pa.array(best[mine].astype(np.int64)), pa.array(np.round(top[mine].astype(float), 6))], names=["id", "cluster", "own_cosine"])
-
-    return vectors.mapInArrow(assign, "id string, cluster long, own_cosine double")
+def describe(members: DataFrame, typical: int = 5) -> DataFrame:
+    """(cluster, size, typical): the size of each cluster and its most persistent members."""
+    part = F.pmod(F.xxhash64("id"), F.lit(64))  # a cluster of any size is ranked in parts first
+    rank = lambda *keys: F.row_number().over(Window.partitionBy("cluster", *keys).orderBy(F.desc("persistence"), "id"))
+    first = members.withColumn("part", part).withColumn("r", rank("part")).where(F.col("r") <= typical)
+    first = first.withColumn("r", rank()).where(F.col("r") <= typical)
+    names = first.groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("r", "id"))).alias("t")).select("cluster", F.col("t.id").alias("typical"))
+    return members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).join(names, "cluster").select("cluster", "size", "typical")
 
 
 def consecutive(members: DataFrame, partitions: int) -> DataFrame:

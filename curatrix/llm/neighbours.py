@@ -1,8 +1,8 @@
 """Most similar vectors for every vector: a permutation index.
 
 A bounded sample of vectors serves as pivots. Each vector is represented by the order of its nearest pivots and is
-posted in the inverted files of the first few of them. Within a file vectors are ranked against each other by cosine,
-all of them or the best by the footrule distance of their pivot orders. The best of all files count.
+posted in the inverted files of the first few of them. Within a file vectors are ranked against each other by the
+footrule distance of their pivot orders, and the best are ranked again by cosine. The best of all files count.
 """
 
 from __future__ import annotations
@@ -19,8 +19,48 @@ from curatrix.llm.vectors import DIM, matrix, pack, pick_pivots, pivot_count, un
 from curatrix.session import cut_lineage
 
 BLOCK = 1024
-#: Cosines that a block of queries holds at most.
-CELLS = 1 << 25
+#: Cosines that a block of queries holds at most, and vectors that are compared pair by pair at once.
+CELLS, PAIRS = 1 << 25, 1 << 16
+#: Posted vectors of a partition (about 10 MB).
+PART = 20_000
+#: Pivots that a vector is compared with one by one; beyond, only with those under the nearest ``LEADS`` of some leading ones.
+FLAT, LEADS = 4096, 16
+
+
+class Pivots:
+    """Unit vectors and the order in which they lie near a vector; of more than ``FLAT`` some lead the others."""
+
+    def __init__(self, x: np.ndarray):
+        self.x = x
+        self.leads = np.zeros(0, int)
+        if len(x) > FLAT:
+            self.leads = np.arange(0, len(x), max(1, len(x) // math.ceil(2 * math.sqrt(len(x)))))
+            nearest = np.concatenate([(x[s : s + 4096] @ x[self.leads].T).argmax(1) for s in range(0, len(x), 4096)])
+            order = np.argsort(nearest, kind="stable")
+            self.under = np.split(order, np.searchsorted(nearest[order], np.arange(1, len(self.leads))))
+
+    def __len__(self) -> int:
+        return len(self.x)
+
+    def orders(self, x: np.ndarray, prefix: int) -> np.ndarray:
+        """Numbers of the ``prefix`` nearest pivots of each unit row, nearest first."""
+        if not len(self.leads):
+            return orders(x, self.x, prefix)
+        near = x @ self.x[self.leads].T
+        near = np.argpartition(-near, LEADS - 1, axis=1)[:, :LEADS]
+        rows, found, cos = [], [], []
+        for g in np.unique(near):
+            r = np.flatnonzero((near == g).any(1))
+            s = x[r] @ self.x[self.under[g]].T
+            k = min(prefix, s.shape[1])
+            best = np.argpartition(-s, k - 1, axis=1)[:, :k]
+            rows.append(np.repeat(r, k)), found.append(self.under[g][best].ravel()), cos.append(np.take_along_axis(s, best, 1).ravel())
+        rows, found, cos = np.concatenate(rows), np.concatenate(found), np.concatenate(cos)
+        at = np.lexsort((-cos, rows))
+        rows, found = rows[at], found[at]
+        place = np.arange(len(rows)) - np.searchsorted(rows, np.arange(len(x)))[rows]
+        width = int(min(prefix, np.bincount(rows).min()))
+        return found[place < width].reshape(len(x), width).astype(np.uint16)
 
 
 def orders(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
@@ -29,7 +69,7 @@ def orders(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     k = min(prefix, s.shape[1])
     near = np.argpartition(-s, k - 1, axis=1)[:, :k] if k < s.shape[1] else np.tile(np.arange(k), (len(s), 1))
     rank = np.argsort(-np.take_along_axis(s, near, 1), axis=1, kind="stable")
-    return np.take_along_axis(near, rank, 1).astype(np.int16)
+    return np.take_along_axis(near, rank, 1).astype(np.uint16)
 
 
 def footrule_overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -57,18 +97,27 @@ def footrule_overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def search_file(ids: np.ndarray, x: np.ndarray, perm: np.ndarray, k: int, candidates: int | None, least: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, found row, cosine) of the k best of one inverted file, for each of its rows, in blocks of queries."""
+    """(query row, found row, cosine) of the k best of one inverted file, for each of its rows, in blocks of queries.
+
+    Of a file with more rows than ``candidates`` only those with the smallest footrule distances are compared by cosine,
+    with all that tie with the last of them.
+    """
     qs, ds, cs = [], [], []
     n = len(ids)
     block = max(1, min(BLOCK, CELLS // max(n, 1)))
     for s in range(0, n, block):
         e = min(n, s + block)
-        cos = x[s:e] @ x.T
-        if candidates is not None and n > candidates:  # all that tie with the last candidate stay
+        if candidates is not None and n > candidates:
             near = footrule_overlap(perm[s:e], perm)
             near[np.arange(e - s), np.arange(s, e)] = -1
             cut = np.partition(near, n - candidates, axis=1)[:, n - candidates]
-            cos[near < cut[:, None]] = -2
+            q, d = np.nonzero(near >= np.maximum(cut, 0)[:, None])
+            cos = np.full((e - s, n), -2, np.float32)
+            for t in range(0, len(q), PAIRS):
+                i, j = q[t : t + PAIRS], d[t : t + PAIRS]
+                cos[i, j] = np.einsum("ij,ij->i", x[s + i], x[j])
+        else:
+            cos = x[s:e] @ x.T
         cos[np.arange(e - s), np.arange(s, e)] = -2
         if least is not None:
             cos[cos < least] = -2
@@ -105,21 +154,27 @@ def long_ids(ids: list[bytes]) -> list[str]:
     return [i[1:].hex() if i[0] else i[1:].decode() for i in ids]
 
 
-def post(vectors: DataFrame, pivots: np.ndarray, posts: int, prefix: int, dim: int) -> DataFrame:
-    """(file, id, vec, perm): each vector in the inverted files of its ``posts`` nearest pivots, with its pivot order; see :func:`short_ids`."""
-    sent = vectors.sparkSession.sparkContext.broadcast(pivots)
+def post(vectors: DataFrame, pivots: np.ndarray, posts: int, prefix: int, dim: int, rows: int) -> DataFrame:
+    """(file, id, vec, perm): each vector in the inverted files of its ``posts`` nearest pivots, with its pivot order; see :func:`short_ids`.
+
+    The files are spread over partitions of about ``PART`` of the ``rows`` times ``posts`` rows, at least as many as the
+    session's.
+    """
+    spark = vectors.sparkSession
+    sent = spark.sparkContext.broadcast(Pivots(pivots))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows * posts // PART))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             raw = matrix(batch.column("vec"), dim)
-            perm = orders(unit(raw), sent.value, prefix)
+            perm = sent.value.orders(unit(raw), prefix)
             ids, vecs, perms = short_ids(batch.column("id").to_pylist()), pa.array(pack(raw), pa.binary()), pa.array([r.tobytes() for r in perm], pa.binary())
             for t in range(min(posts, perm.shape[1])):
                 yield pa.RecordBatch.from_arrays([pa.array(perm[:, t].astype(np.int32)), ids, vecs, perms], names=["file", "id", "vec", "perm"])
 
-    return vectors.select("id", "vec").mapInArrow(run, "file int, id binary, vec binary, perm binary")
+    return vectors.select("id", "vec").mapInArrow(run, "file int, id binary, vec binary, perm binary").repartition(parts, "file")
 
 
 def posts_for(rows: int, least: int = 5) -> int:
@@ -142,13 +197,13 @@ def permutation_neighbours(
     least_cosine: float | None = None,
     pivots: int | None = None,
     posts: int | None = 3,
-    prefix: int = 8,
-    candidates: int | None = 256,
+    prefix: int = 16,
+    candidates: int | None = 48,
     seed: int = 0,
 ) -> DataFrame:
     """(id, neighbour, cosine): for each id with a usable vector its ``k`` most similar other ids.
 
-    Parameters: ``pivots`` (about 1.5 times the root of the number of rows unless given), ``posts`` inverted files a
+    Parameters: ``pivots`` (:func:`pivot_count` unless given), ``posts`` inverted files a
     vector is posted in (None: :func:`posts_for`), ``prefix`` pivots of its order, ``candidates`` kept by footrule in a
     file before cosines count (None: the whole file), ``least_cosine`` to leave out weaker neighbours early. Approximate: a neighbour is found if it shares one of
     its nearest pivots; an id may come out with fewer than ``k``.
@@ -164,7 +219,7 @@ def permutation_neighbours(
     count = df.select(id_col).count()
     posts = posts_for(count) if posts is None else posts
     prefix = max(prefix, posts)
-    piv = pick_pivots(vectors, pivots or pivot_count(count), seed)
+    piv = pick_pivots(vectors, pivots or pivot_count(count), count, seed)
     if not len(piv):
         return spark.createDataFrame([], "id string, neighbour string, cosine double")
     hot = [r.h for r in crowded_copies(vectors, count).collect()]
@@ -179,7 +234,7 @@ def permutation_neighbours(
             .withColumn("cosine", F.lit(1.0))
         )
         vectors = marked.join(F.broadcast(firsts), "h", "left").where(F.col("firsts").isNull() | F.array_contains("firsts", F.col("id"))).select("id", "vec")
-    cells = post(vectors, piv, posts, prefix, dim)
+    cells = post(vectors, piv, posts, prefix, dim, count)
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -190,7 +245,7 @@ def permutation_neighbours(
         at = at[np.argsort(ids[at], kind="stable")]
         part = table.take(pa.array(at))
         x = unit(unpack(part.column("vec").combine_chunks(), dim))
-        perm = np.frombuffer(b"".join(part.column("perm").to_pylist()), np.int16).reshape(len(at), -1)
+        perm = np.frombuffer(b"".join(part.column("perm").to_pylist()), np.uint16).reshape(len(at), -1)
         names = ids[at]
         q, d, c = search_file(names, x, perm, k + int(len(key) != len(at)), candidates, least_cosine)
         # a pair that meets in several files counts in the first that both are posted in

@@ -52,15 +52,23 @@ def unpack(column: pa.Array, dim: int) -> np.ndarray:
     return np.stack([np.frombuffer(b, np.float16 if len(b) == 2 * dim else np.float32).astype(np.float32) for b in rows]) if rows else np.zeros((0, dim), np.float32)
 
 
-def pivot_count(rows: int, least: int = 4, most: int = 8192) -> int:
-    """Pivots for a collection: with about 1.5 times the square root, cells and pivots grow alike. ``most`` bounds what is sent to the executors (8 MB)."""
-    return int(min(most, max(least, math.ceil(1.5 * math.sqrt(max(rows, 1))))))
-
-
-def pick_pivots(vectors: DataFrame, count: int, seed: int = 0) -> np.ndarray:
-    """Unit vectors of the ``count`` ids with the smallest hash: a bounded sample that follows the density, so that a crowd gets pivots in proportion."""
-    rows = vectors.select("vec", F.xxhash64("id", F.lit(seed)).alias("h"), "id").orderBy("h", "id").limit(count).select("vec").toArrow()
-    if not rows.num_rows:
+def pivot_count(rows: int, least: int = 4, most: int = 65_536) -> int:
+    """Pivots for a collection: 1.5 times the square root, or one for 1,000 rows where that is more. ``most`` bounds what is sent to the executors (32 MB)."""
+    return int(min(most, max(least, math.ceil(1.5 * math.sqrt(max(rows, 1))), rows // 1000)))
+
+
+def pick_pivots(vectors: DataFrame, count: int, rows: int | None = None, seed: int = 0) -> np.ndarray:
+    """Unit vectors of the ``count`` ids with the smallest hash: a bounded sample that follows the density, so that a crowd gets pivots in proportion.
+
+    With the number of ``rows`` known, only ids with a hash below what about one and a half times ``count`` have are sorted;
+    then a task sends its part of these, not ``count`` rows.
+    """
+    h = F.xxhash64("id", F.lit(seed))
+    few = vectors.select("vec", h.alias("h"), "id")
+    if rows and rows > 2 * count:
+        few = few.where(F.col("h") < F.lit(min((1 << 63) - 1, int(-(1 << 63) + min(1.0, (1.5 * count + 100) / rows) * (1 << 64)))))
+    got = few.orderBy("h", "id").limit(count).select("vec").toArrow()
+    if not got.num_rows:
         return np.zeros((0, DIM), np.float32)
-    x = unit(matrix(rows.column("vec"), len(rows.column("vec")[0])))
+    x = unit(matrix(got.column("vec"), len(got.column("vec")[0])))
     return x[np.sort(np.unique(np.round(x, 4), axis=0, return_index=True)[1])]

@@ -178,14 +178,14 @@ def test_defects_after_long_beginnings(spark):
     model = R.fit(sound_pairs(spark, 1000)[:1500])
     q = "How does a bond differ from a loan?"
     long = "This is one of those matters on which whole shelves of books have been filled. It helps to look at it from more than one side, with the common use of the words in mind and with some care for the cases in which they part. "
-    assert len(long * 3) > 500
-    for end in ("I'm sorry, but I cannot answer this question.", "I am not able to help with that.", "I refuse to discuss this topic."):
-        for times in (1, 3):
-            s = over(model, [(q, long * times + end)])[0]
-            assert s.max() >= 0 and R.DEFECTS[s.argmax()] == "refusal", (end, times, s)
+    rng = np.random.default_rng(3)
+    for times in (1, 3):  # 220 and 660 characters before it
+        said = over(model, [(q, long * times + R.refusal(rng, "en")) for _ in range(200)])
+        assert ((said.argmax(1) == 2) & (said.max(1) >= 0)).mean() > 0.75
+    assert over(model, [(q, long * 3)])[0].max() < 0
     assert R.DEFECTS[over(model, [(q, long * 3 + "The bond is sold on a mar")])[0].argmax()] == "truncated"
-    words = " ".join(f"w{k}" for k in range(60))
-    assert R.features([("", words)], frozenset())[2][0] > R.features([("", words[:80])], frozenset())[2][0]
+    words = [chr(97 + k // 26) + chr(97 + k % 26) + "x" for k in range(60)]
+    assert R.features([("", " ".join(words))], frozenset())[2][0] > R.features([("", " ".join(words[:30]))], frozenset())[2][0] + 80
     points = ["1. The loan is given by a bank.", "2. The bond is sold on a market.", "3. The price of the bond moves."]
     whole, cut = (R.shape(q, long + "There are three points. \n" + "\n".join(points[:k]), frozenset())[0] for k in (3, 2))
     assert "points all" in whole and "points fewer" in cut

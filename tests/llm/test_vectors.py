@@ -10,6 +10,7 @@ import pytest
 from curatrix.llm import clusters as K
 from curatrix.llm import neighbours as P
 from curatrix.llm import subset as S
+from curatrix.llm import tree as Y
 from curatrix.llm import vectors as V
 
 TABLES = "/root/testdata/sf0.01"
@@ -156,6 +157,86 @@ def test_loose_clusters(spark):
     assert sorted(map(sorted, by.values())) == sorted(map(sorted, want))
 
 
+def test_cells_of_any_size_are_compared_whole(monkeypatch):
+    """The tree of a cell is that of all its pairs, also where its similarities don't fit at once."""
+    x = V.unit(np.stack([v for _, v in crowds([30, 20, 9, 25], spread=0.8)]).astype(np.float32))
+    x[40:44] = x[40]
+    weight = lambda t: np.sort(np.round(t[2], 5))
+    whole = K.cell_tree(x, 3, 0.8, 10)
+    monkeypatch.setattr(K, "CELL", 5), monkeypatch.setattr(K, "BLOCK", 7)
+    assert np.array_equal(weight(K.cell_tree(x, 3, 0.8, 10)), weight(whole)) and len(whole[0]) == len(x) - 1
+    # by brute force: the greatest spanning tree of mutual reachability between leaders
+    s = x @ x.T
+    lead = [i for i in range(len(x)) if not (s[i, :i][[j for j in range(i) if s[j, :j].max(initial=-1) < 0.8]] >= 0.8).any()]
+    y = s[np.ix_(lead, lead)].copy()
+    np.fill_diagonal(y, -2)
+    core = np.sort(y, 1)[:, -3]
+    reach = np.minimum(np.minimum(y, core[:, None]), core[None, :])
+    left, inside, total = set(range(1, len(lead))), {0}, []
+    while left:
+        w, j = max((reach[i, j], j) for i in inside for j in left)
+        total.append(w), inside.add(j), left.remove(j)
+    hung = len(x) - len(lead)
+    assert np.isclose(sorted(total), np.sort(whole[2][hung:]), atol=1e-5).all()
+
+
+def random_edges(n, m, seed):
+    rng = np.random.default_rng(seed)
+    e = {(min(a, b), max(a, b)): float(np.round(s, 2)) for a, b, s in zip(rng.integers(0, n, m).tolist(), rng.integers(0, n, m).tolist(), rng.random(m)) if a != b}
+    return [(a * 7919, b * 7919, s) for (a, b), s in e.items()]
+
+
+def test_tree_is_the_same_by_rounds_and_at_once(spark):
+    rows = random_edges(300, 900, 3)  # with many equal weights
+    edges = spark.createDataFrame(rows + rows[:50], "u long, v long, s double")
+    once = {tuple(r) for r in Y.spanning_tree(edges, least_rounds=0).collect()}
+    rounds = {tuple(r) for r in Y.spanning_tree(edges, rest=0).collect()}
+    assert once == rounds and len(once) > 250
+
+
+def test_bands_condense_as_the_whole(spark):
+    rows = random_edges(400, 3000, 5)
+    tree = Y.spanning_tree(spark.createDataFrame(rows, "u long, v long, s double")).cache()
+
+    def result(band):
+        joined, clusters = Y.condense(tree, 4, 0.0, band)
+        sizes = sorted((round(r.level, 6), r.rows, round(r.mass, 6)) for r in clusters.collect())
+        return sorted((r.row, r.level) for r in joined.collect()), sizes
+
+    assert result(10_000) == result(60)
+
+
+def test_selection_by_stability():
+    import pyarrow as pa
+
+    # 1 and 2 meet in 3; what they have above it is more than 3 has below
+    c = pa.table({"cluster": [1, 2, 3], "parent": [3, 3, -1], "level": [0.3, 0.3, 0.25], "mass": [Y.density(0.6) * 20, Y.density(0.6) * 30, Y.density(0.3) * 50], "rows": [20, 30, 50]})
+    assert dict(zip(*Y.select_stable(c).to_pydict().values())) == {3: -1, 2: 2, 1: 1}
+    assert dict(zip(*Y.select_stable(c, apart=0.3).to_pydict().values())) == {3: 3, 2: 3, 1: 3}
+    thin = c.set_column(3, "mass", pa.array([Y.density(0.31) * 20, Y.density(0.31) * 30, Y.density(0.3) * 50]))
+    assert dict(zip(*Y.select_stable(thin).to_pydict().values())) == {3: 3, 2: 3, 1: 3}
+
+
+def test_led_pivots_find_the_nearest(monkeypatch):
+    rng = np.random.default_rng(8)
+    x, pivots = (V.unit(rng.standard_normal((n, 32)).astype(np.float32)) for n in (200, 600))
+    flat = P.Pivots(pivots).orders(x, 4)
+    monkeypatch.setattr(P, "FLAT", 100)
+    led = P.Pivots(pivots).orders(x, 4)
+    assert led.shape == flat.shape and np.mean([len(set(a) & set(b)) / 4 for a, b in zip(flat.tolist(), led.tolist())]) > 0.7
+
+
+def test_candidates_by_footrule_before_cosines():
+    rows = crowds([400, 300], spread=0.3)
+    x = V.unit(np.stack([v for _, v in rows]).astype(np.float32))
+    perm = P.orders(x, x[::20], 16)
+    names = np.array([i for i, _ in rows], dtype=object)
+    q, d, c = P.search_file(names, x, perm, 5, 48, None)
+    all_q, all_d, _ = P.search_file(names, x, perm, 5, None, None)
+    assert np.allclose(c, np.einsum("ij,ij->i", x[q], x[d]), atol=1e-5) and len(q) == len(all_q) == 5 * len(rows)
+    assert {*zip(q.tolist(), d.tolist())} != {*zip(all_q.tolist(), all_d.tolist())}  # the footrule decides what is compared
+
+
 def test_consecutive_ids(spark):
     df = spark.createDataFrame([("a", 1), ("c", 1), ("b", 1), ("x", 2), ("d", 3), ("e", 3)], "id string, cluster long")
     for parts in (1, 2, 5):
