@@ -55,9 +55,11 @@ def plan(supply: np.ndarray, share: np.ndarray, least: np.ndarray, rows: int, se
 
 
 def target_plan(records: DataFrame, targets: DataFrame, categories: tuple[str, ...] = CATEGORIES, seed: int = 0) -> DataFrame:
-    """(target_id, *categories, target_share, min_rows, need, supply, drawn, short) of each target.
+    """(target_id, *categories, target_share, min_rows, need, supply, drawn, short, unmet) of each target.
 
-    ``need`` is the larger of the minimum and the share of the sample; ``short`` where it exceeds the supply. A null
+    ``need`` is the larger of the minimum and the share of the sample; ``short`` where it exceeds the supply. ``unmet``
+    tells why the repaired plan draws less than the target needs: ``supply`` where there are no more records, ``total``
+    where there are, but the minimums of others leave no place in the sample; null where it is met. A null
     category of a target is a category of its own; two targets of one category get its records in turn, by target_id.
     The table of targets is small by nature and is planned on the driver; the records aren't gathered.
     """
@@ -71,7 +73,7 @@ def target_plan(records: DataFrame, targets: DataFrame, categories: tuple[str, .
         on = on & s
     got = t.join(supply, on, "left").select("target_id", *[t[c] for c in categories], "target_share", "min_rows", "sample_rows", F.coalesce("supply", F.lit(0)).alias("supply")).orderBy("target_id").toPandas()
     schema = t.select(*categories).schema
-    out = "target_id long, " + ", ".join(f"{c} {schema[c].dataType.simpleString()}" for c in categories) + ", target_share double, min_rows long, need double, supply long, drawn long, short boolean"
+    out = "target_id long, " + ", ".join(f"{c} {schema[c].dataType.simpleString()}" for c in categories) + ", target_share double, min_rows long, need double, supply long, drawn long, short boolean, unmet string"
     if got.empty:
         return spark.createDataFrame([], out)
     rows = int(got["sample_rows"].max())
@@ -86,7 +88,7 @@ def target_plan(records: DataFrame, targets: DataFrame, categories: tuple[str, .
         own[np.flatnonzero(key == k)[-1]] += left
     drawn = plan(own, share, least, rows, seed)
     need = np.maximum(least, share * rows)
-    data = [(int(i), *k, float(s), int(m), float(d), int(h), int(n), bool(d > h)) for i, k, s, m, d, h, n in zip(got["target_id"], key, share, least, need, have, drawn)]
+    data = [(int(i), *k, float(s), int(m), float(d), int(h), int(n), bool(d > h), "supply" if d > h and n >= h else "total" if n < int(d + 1e-9) else None) for i, k, s, m, d, h, n in zip(got["target_id"], key, share, least, need, have, drawn)]
     return spark.createDataFrame(data, out)
 
 
@@ -94,7 +96,7 @@ def proportional_sample(records: DataFrame, planned: DataFrame, categories: tupl
     """(target_id, id): the records of the plan, drawn at random by the hash of the id.
 
     The hash cuts each category into ``parts``; counting them shows in which part the last record to draw lies, and
-    only that part is ranked, so no category is sorted as a whole.
+    the parts up to it are ranked each by itself, so no category is sorted as a whole.
     """
     h = F.xxhash64("id", F.lit(seed))
     small = F.broadcast(planned.select("target_id", F.struct(*categories).alias("key"), "drawn"))

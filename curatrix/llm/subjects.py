@@ -1,8 +1,10 @@
 """Subject areas of documents: interpolated n-gram language models per subject against a background model.
 
-A labelled sample gives each subject's model. A sentence deals with the subject under whose model its tokens cost
-least, if that saves enough against the background; a document has the subjects of a fifth of its sentences or more.
-Labels are those of documents, so the models and the sentences' subjects are estimated in turns.
+A labelled sample gives each subject's model, and one of what deals with no subject; the background is a model of its
+own, of all subjects in equal parts. A sentence deals with the subject under whose model its tokens cost least, if each
+costs enough less than under the background; a document has the subjects of a fifth of its sentences or more. Labels are
+those of documents, so the models and the sentences' subjects are estimated in turns. How much less is enough is
+calibrated for each subject on documents that were held out.
 """
 
 from __future__ import annotations
@@ -61,7 +63,7 @@ class Models:
         self.subjects, self.words, self.pairs = subjects, {}, {}
         # the last model is that of sentences without a subject
         self.one = self.two = np.zeros((0, len(subjects) + 1), np.float32)
-        self.least = 3.0
+        self.least = np.full(len(subjects), 0.25)
 
     def encode(self, sents: list[list[str]], learn: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(word numbers, pair numbers, sentence lengths); -1 for what isn't known, or with ``learn`` a new number."""
@@ -75,27 +77,36 @@ class Models:
             sizes.append(len(n))
         return np.array(ones, int), np.array(twos, int), np.array(sizes, int)
 
-    def estimate(self, ones: np.ndarray, twos: np.ndarray, weight: np.ndarray, mix: tuple[float, float, float] = (0.3, 0.6, 0.1)) -> None:
-        """Models from tokens with a weight for each subject: ``mix`` interpolates bigram, unigram and background."""
+    def estimate(self, ones: np.ndarray, twos: np.ndarray, weight: np.ndarray, held: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> None:
+        """Models from tokens with a weight for each subject.
+
+        Bigrams are interpolated with unigrams and these with the words of all; the shares are those under which the
+        tokens ``held`` out (ones, twos, weights) are likeliest, found by a few steps of expectation maximisation.
+        """
         v, p, s = len(self.words), len(self.pairs), len(self.subjects) + 1
         ones_w, known = np.zeros((v, s)), twos >= 0
         twos_w = np.zeros((p, s))
         for j in range(s):
             ones_w[:, j] = np.bincount(ones, weight[:, j], v)
             twos_w[:, j] = np.bincount(twos[known], weight[known, j], p)
-        first = np.zeros(p, int)
-        second = np.zeros(p, int)
-        for (a, b), k in self.pairs.items():
-            first[k], second[k] = a, b
-        back = (np.bincount(ones, minlength=v) + 0.5) / (len(ones) + 0.5 * v)
-        m2, m1, m0 = mix
-        # smoothing in proportion to a subject's size, so that words none of its sentences has favour no subject
-        uni = (1 - m0) * ones_w / np.maximum(ones_w.sum(0), 1) + m0 * back[:, None]
+        first, second = (np.fromiter(x, int, p) for x in zip(*self.pairs)) if p else (np.zeros(0, int), np.zeros(0, int))
+        words = (np.bincount(ones, minlength=v) + 0.5) / (len(ones) + 0.5 * v)
+        # the background has all subjects in equal parts, whatever the corpus is made of
+        size = np.maximum(ones_w.sum(0), 1)
+        ones_w, twos_w = np.column_stack([ones_w, (ones_w / size).sum(1) * size.mean()]), np.column_stack([twos_w, (twos_w / size).sum(1) * size.mean()])
+        uni = ones_w / np.maximum(ones_w.sum(0), 1)
         two = twos_w / np.maximum(ones_w[first], 1.0)
-        own = m2 * two + (m1 + m0) * uni[second]
-        # the background weighs all subjects alike, whatever the corpus is made of
-        self.one = np.log(uni / uni.mean(1, keepdims=True)).astype(np.float32)
-        self.two = np.log(own / own.mean(1, keepdims=True)).astype(np.float32)
+        m0, m2 = 0.1, 0.3
+        if held is not None:
+            a, b, w = held
+            mine, w = w.argmax(1), w.max(1)
+            m0 = shares([uni[a, mine], words[a]], w)[1]
+            ok = b >= 0
+            m2 = shares([two[b[ok], mine[ok]], ((1 - m0) * uni + m0 * words[:, None])[a[ok], mine[ok]]], w[ok])[0]
+        uni = (1 - m0) * uni + m0 * words[:, None]
+        own = m2 * two + (1 - m2) * uni[second]
+        self.one = np.log(uni[:, :-1] / uni[:, -1:]).astype(np.float32)
+        self.two = np.log(own[:, :-1] / own[:, -1:]).astype(np.float32)
 
     def gains(self, ones: np.ndarray, twos: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """For each sentence and subject, what its tokens save against the background in nats."""
@@ -111,16 +122,32 @@ class Models:
 
     def shares(self, gains: np.ndarray, sizes: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
         """For each document and subject, the share of its sentences that deal with it."""
-        best = gains.argmax(1) if len(gains) else np.zeros(0, int)
-        hit = np.flatnonzero((gains[np.arange(len(gains)), best] >= self.least) & (best < len(self.subjects))) if len(gains) else best
         n = np.zeros((docs, len(self.subjects)))
-        np.add.at(n, (doc[hit], best[hit]), 1)
+        if len(gains):
+            best = gains.argmax(1)
+            top = gains[np.arange(len(gains)), best] / sizes
+            hit = np.flatnonzero((best < len(self.subjects)) & (top >= np.append(self.least, np.inf)[best]))
+            np.add.at(n, (doc[hit], best[hit]), 1)
         return n / np.maximum(np.bincount(doc, minlength=docs), 1)[:, None]
 
 
-def fit(rows: list[tuple[str, frozenset[str]]], subjects: list[str], turns: int = 5, part: float = 0.2) -> Models:
-    """Models from (text, subjects) of labelled documents; labels may be wrong or missing."""
-    m = Models(subjects)
+def shares(likely: list[np.ndarray], weight: np.ndarray, steps: int = 20) -> np.ndarray:
+    """The shares of a mixture under which tokens with these likelihoods are likeliest, none below 0.05."""
+    mix = np.full(len(likely), 1.0 / len(likely))
+    for _ in range(steps):
+        part = np.stack([m * x for m, x in zip(mix, likely)])
+        part = (part / np.maximum(part.sum(0), 1e-30)) @ weight
+        mix = np.maximum(part / max(part.sum(), 1e-30), 0.05)
+        mix /= mix.sum()
+    return mix
+
+
+def fit(rows: list[tuple[str, frozenset[str]]], subjects: list[str], turns: int = 5, part: float = 0.2, folds: int = 2) -> Models:
+    """Models from (text, subjects) of labelled documents; labels may be wrong or missing.
+
+    Each of ``folds`` parts of the documents is scored by models fitted on the others; on these scores the thresholds
+    are calibrated. The models that come out are fitted on all.
+    """
     at = {s: j for j, s in enumerate(subjects)}
     # a document all of whose labels are unknown tells nothing; one without labels is of no subject
     rows = [r for r in rows if not r[1] or r[1] & at.keys()]
@@ -129,6 +156,7 @@ def fit(rows: list[tuple[str, frozenset[str]]], subjects: list[str], turns: int
         for s in sentences(t):
             sents.append(s), doc.append(k)
     doc = np.array(doc, int)
+    m = Models(subjects)
     ones, twos, sizes = m.encode(sents, learn=True)
     if not len(sizes):
         return m
@@ -138,29 +166,45 @@ def fit(rows: list[tuple[str, frozenset[str]]], subjects: list[str], turns: int
         for s in labels & at.keys():
             of[k, at[s]] = 1 / len(labels & at.keys())
     where = np.repeat(np.arange(len(sizes)), sizes)
-    soft = of[doc]
-    for _ in range(turns):
-        m.estimate(ones, twos, soft[where])
-        g = m.gains(ones, twos, sizes)
-        # a document's labels are likely but not sure, and any document has sentences without a subject
-        z = g + np.log(np.where(of[doc] > 0, 1.0, 0.005))
-        z = np.exp(z - z.max(1, keepdims=True))
-        soft = z / z.sum(1, keepdims=True)
-    m.estimate(ones, twos, soft[where])
-    # acceptance: the gain from which a sentence counts, where the documents' labels are met best
-    g = m.gains(ones, twos, sizes)
-    truth = of[:, :-1] > 0
-    best, score = m.least, -1.0
-    for least in np.arange(0.5, 8.0, 0.5):
-        m.least = least
-        said = m.shares(g, sizes, doc, len(rows)) >= part - 1e-9
-        f = 2 * (said & truth).sum() / max(1, said.sum() + truth.sum())
-        if f > score + 1e-4:
-            best, score = least, f
-    m.least = float(best)
+    fold = np.arange(len(rows)) % folds
+
+    def learn(docs: np.ndarray, out: np.ndarray) -> None:
+        """Fits on the documents ``docs``; ``out`` are held out for the interpolation."""
+        mine, theirs = docs[doc][where], out[doc][where]
+        soft = of[doc]
+        for turn in range(turns + 1):
+            held = (ones[theirs], twos[theirs], soft[where][theirs]) if turn in (1, turns) and theirs.any() else None
+            m.estimate(ones[mine], twos[mine], soft[where][mine], held)
+            if turn < turns:
+                # a document's labels are likely but not sure, and any document has sentences without a subject
+                z = m.gains(ones, twos, sizes) + np.log(np.where(of[doc] > 0, 1.0, 0.005))
+                z = np.exp(z - z.max(1, keepdims=True))
+                soft = z / z.sum(1, keepdims=True)
+
+    g = np.zeros((len(sizes), len(subjects) + 1), np.float32)
+    if len(rows) >= 10 * folds:
+        for f in range(folds):
+            learn(fold != f, fold == f)
+            out = fold[doc] == f
+            g[out] = m.gains(ones, twos, sizes)[out]
+        m.least = thresholds(m, g, sizes, doc, of[:, :-1] > 0, part)
+    learn(np.ones(len(rows), bool), fold == 0)
     return m
 
 
+def thresholds(m: Models, g: np.ndarray, sizes: np.ndarray, doc: np.ndarray, truth: np.ndarray, part: float) -> np.ndarray:
+    """For each subject the gain per token from which on a sentence counts: where the documents' labels are met best."""
+    grid = np.arange(0.02, 1.2, 0.02)
+    f1 = np.zeros((len(grid), len(m.subjects)))
+    for k, least in enumerate(grid):
+        m.least = np.full(len(m.subjects), least)
+        said = m.shares(g, sizes, doc, len(truth)) >= part - 1e-9
+        f1[k] = 2 * (said & truth).sum(0) / np.maximum(said.sum(0) + truth.sum(0), 1)
+    # few labels say little about one subject: its curve is seen together with that of all
+    f1 = f1 + f1.mean(1, keepdims=True)
+    return np.array([grid[np.flatnonzero(f1[:, j] >= f1[:, j].max() - 1e-3)].mean() for j in range(len(m.subjects))])
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text: str, most: int, seed: int) -> list[tuple[str, frozenset[str]]]:
     """(text, subjects) of at most ``most`` labelled documents, by hash of the id, with all the labels they have."""
     one = labels.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("k"), label("subject").alias("s")).distinct()

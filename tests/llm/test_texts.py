@@ -133,6 +133,9 @@ def test_sample_matches_its_plan(spark):
     targets = spark.createDataFrame([(1, "D1", "m", None, 0.5, 10, 100), (2, "d2", "m", "High", 0.4, 0, 100), (3, "d9", "m", None, 0.1, 5, 100)], "target_id long, dataset string, meta_domain string, meta_difficulty_bin string, target_share double, min_rows long, sample_rows long")
     plan = {r.target_id: r for r in Q.target_plan(records, targets).collect()}
     assert (plan[1].supply, plan[2].supply, plan[3].supply) == (200, 100, 0) and [plan[k].short for k in (1, 2, 3)] == [False, False, True]
+    assert [plan[k].unmet for k in (1, 2, 3)] == [None, None, "supply"]
+    tight = spark.createDataFrame([(1, "D1", "m", None, 0.5, 80, 100), (2, "d2", "m", "High", 0.5, 10, 100)], targets.schema)
+    assert {r.target_id: r.unmet for r in Q.target_plan(records, tight).collect()} == {1: None, 2: "total"}
     assert sum(r.drawn for r in plan.values()) == 100 and plan[1].drawn >= 50 and plan[2].drawn >= 40
     got = Q.proportional_sample(records, Q.target_plan(records, targets), parts=8).collect()
     assert len({r.id for r in got}) == len(got) == 100
