@@ -90,6 +90,18 @@ def answer_type(x: str | Column) -> Column:
     )
 
 
+def human_bytes(n: str | Column) -> Column:
+    """A size in B to PB with two decimals; n/a for null and 0."""
+    x = _c(n).cast("double")
+    out = F.when(F.coalesce(x, F.lit(0.0)) == 0, "n/a")
+    units = ("B", "KB", "MB", "GB", "TB", "PB")
+    for i, u in enumerate(units):
+        last = i == len(units) - 1
+        shown = F.concat(F.format_string("%.2f", F.bround(x / float(1024**i), 2)), F.lit(" " + u))
+        out = out.otherwise(shown) if last else out.when(x < float(1024 ** (i + 1)), shown)
+    return out
+
+
 def trace_field(x: str | Column, key: str) -> Column:
     """The value of a ``KEY: value`` line of a trace sketch, or null."""
     got = F.regexp_extract(_c(x), rf"(?m)^[ \t]*{key}:[ \t]*(.*)$", 1)

@@ -83,6 +83,22 @@ def only_ids(df: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
     return df.join(ids.select(id_col).distinct(), id_col, "left_semi")
 
 
+def require_all_ids(df: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
+    """Rows with one of the ids, each id once by the caller's promise; an error if an id has no row or more than one."""
+    out = only_ids(df, ids, id_col)
+    wanted, found = ids.where(F.col(id_col).isNotNull()).select(id_col).distinct().count(), out.count()
+    if wanted != found:
+        raise ValueError(f"{wanted} ids, {found} rows")
+    return out
+
+
+def token_length(df: DataFrame, length: str = "stats_tok_len", tokens: str = "input_ids") -> Column:
+    """The token count of a row: ``length`` where the table has it, else the length of the list of tokens; null where neither is."""
+    have = [F.col(length)] if length in df.columns else []
+    have += [F.when(F.col(tokens).isNotNull(), F.size(tokens))] if tokens in df.columns else []
+    return F.coalesce(*have).cast("long") if have else F.lit(None).cast("long")
+
+
 def missing_ids(ids: DataFrame, df: DataFrame, id_col: str = "id") -> DataFrame:
     """Distinct ids that ``df`` has no row of."""
     return ids.where(F.col(id_col).isNotNull()).select(id_col).distinct().join(df.select(id_col), id_col, "left_anti")

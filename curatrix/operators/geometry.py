@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from curatrix.operators.profile import quantiles
+
 
 def l2_norm(vec: str) -> Column:
     """Length of a vector, summed in doubles."""
@@ -95,9 +97,18 @@ def pca(df: DataFrame, vec_col: str, dim: int, k: int = 3) -> tuple[np.ndarray,
                 n, s, m = n + len(x), s + x.sum(0), m + x.T @ x
         yield pd.DataFrame({"n": [n], "s": [s.tobytes()], "m": [m.tobytes()]})
 
+    def add(p: pd.DataFrame) -> pd.DataFrame:
+        total = lambda c: np.sum([np.frombuffer(bytes(b)) for b in p[c]], axis=0).tobytes()
+        return pd.DataFrame({"slot": p["slot"].iloc[:1], "n": [p["n"].sum()], "s": [total("s")], "m": [total("m")]})
+
+    # sums of dim² numbers meet sixteen at a time, so that one row comes to the driver
+    rows = df.select(vec_col)
+    tasks = rows.rdd.getNumPartitions()
+    level = rows.mapInPandas(sums, "n long, s binary, m binary").withColumn("slot", F.spark_partition_id())
+    while tasks > 1:
+        level, tasks = level.withColumn("slot", F.floor(F.col("slot") / 16).cast("int")).groupBy("slot").applyInPandas(add, "slot int, n long, s binary, m binary"), -(-tasks // 16)
     n, s, m = 0, np.zeros(dim), np.zeros((dim, dim))
-    # one row of dim² numbers a task
-    for r in df.select(vec_col).mapInPandas(sums, "n long, s binary, m binary").toLocalIterator():
+    for r in level.collect():
         n, s, m = n + r.n, s + np.frombuffer(bytes(r.s)), m + np.frombuffer(bytes(r.m)).reshape(dim, dim)
     if n < 2:
         return np.zeros((k, dim)), s / max(n, 1), np.zeros(k)
@@ -122,9 +133,8 @@ def project(df: DataFrame, vec_col: str, components: np.ndarray, mean: np.ndarra
 
 def density_bins(df: DataFrame, x: str, y: str, z: str, groups: tuple[str, ...], grid_2d: int = 256, grid_3d: int = 96, low: float = 0.005, high: float = 0.995) -> DataFrame:
     """(kind, *groups, bx, by, bz, count): rows in the squares of three planes and in the cubes; an axis not used is -1."""
-    q = df.agg(*[F.percentile(c, [float(low), float(high)]).alias(f"q{i}") for i, c in enumerate((x, y, z))]).first()
-    if q[0] is None:
-        q = [[0.0, 1.0]] * 3
+    found = [quantiles(df, c, {"low": low, "high": high}).first() for c in (x, y, z)]  # one row an axis
+    q = [(r.low, r.high) if r else (0.0, 1.0) for r in found]
 
     def cell(i: int, c: str, n: int) -> Column:
         lo, hi = q[i]

@@ -7,7 +7,7 @@ start tag is left that no message begins with; a text without tags is valid and
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curatrix.functions.text import rstrip, strip
@@ -29,20 +29,21 @@ def _part(x: Column, group: int) -> Column:
 
 def messages(text: str | Column) -> Column:
     """array<struct<role, channel, content, end_tag>> of a text; null for null."""
-    t = _c(text)
-    rows = F.arrays_zip(_part(t, 1).alias("h"), _part(t, 2).alias("c"), _part(t, 3).alias("d"))
 
-    def one(m: Column) -> Column:
-        h = m["h"]
+    def one(w: Column) -> Column:
+        # the text is matched once; the header ends at the first message tag, and no tag is within the closing one
+        h = F.substring_index(w.substr(F.lit(len(START) + 1), F.length(w)), MESSAGE, 1)
+        end = F.concat(F.lit("<|"), F.substring_index(w, "<|", -1))
+        skip = F.length(h) + len(START) + len(MESSAGE)
         at = F.instr(h, CHANNEL)
         return F.struct(
             F.when(at > 0, F.substring_index(h, CHANNEL, 1)).otherwise(h).alias("role"),
             F.when(at > 0, h.substr(at + len(CHANNEL), F.length(h))).alias("channel"),
-            m["c"].alias("content"),
-            m["d"].alias("end_tag"),
+            w.substr(skip + 1, F.length(w) - skip - F.length(end)).alias("content"),
+            end.alias("end_tag"),
         )
 
-    return F.transform(rows, one)
+    return F.transform(_part(_c(text), 0), one)
 
 
 def valid(text: str | Column) -> Column:
@@ -65,9 +66,14 @@ def last_final(msgs: Column) -> Column:
     return F.try_element_at(F.transform(own, lambda m: m["content"]), F.lit(-1))
 
 
-def quality_flags(text: str | Column) -> dict[str, Column]:
-    """Flags of a text by name; all false or 0 for an invalid text."""
-    t, m = _c(text), messages(text)
+def with_messages(df: DataFrame, text: str, out: str = "__messages") -> DataFrame:
+    """``df`` with the parsed messages of ``text`` in a column, so that what is told by them doesn't parse again."""
+    return df.withColumn(out, messages(text))
+
+
+def quality_flags(text: str | Column, parsed: Column | None = None) -> dict[str, Column]:
+    """Flags of a text by name; all false or 0 for an invalid text. ``parsed`` are its messages where a column has them."""
+    t, m = _c(text), messages(text) if parsed is None else parsed
     ok = valid(t)
     final = F.coalesce(strip(last_final(m)), F.lit(""))
     return {

@@ -11,12 +11,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from curatrix.functions.text import dataset_domain, split_difficulty
-from curatrix.operators.grammar import quality_flags
+from curatrix.operators.grammar import quality_flags, with_messages
 from curatrix.operators.tools import canonical, tool_payloads_ok_udf
 from curatrix.schemas import NORMALIZED, with_optional_columns
 
-# Names under which models call the Python tool.
-PYTHON_NAMES = ("python", "python_tool", "stateful_python_code_exec", "code_interpreter")
+# Names under which models call the Python tool; prompts of the kinds of records.
+PYTHON_NAMES = ("stateful_python_code_exec", "python_code_exec", "python")
+PREAMBLE = "You are ChatGPT, a large language model trained by OpenAI.\nKnowledge cutoff: 2024-06\n\n"
+MATH_SYSTEM = PREAMBLE + "Reasoning: {difficulty}\n\n# Valid channels: analysis, commentary, final. Channel must be included for every message."
+MATH_DEVELOPER = "# Instructions\n\nYou will solve the problem and return the final answer in \\boxed{}. Do not guess the answer, unless specifically given permission to."
+PROOF_SYSTEM = PREAMBLE + "# Task: Convert the user's math statement into Lean 4."
+PROOF_DEVELOPER = "# Instructions\n\nConvert the math problem into a Lean 4 theorem statement. Return Lean code only."
 
 
 def _shown(value: Any) -> str:
@@ -24,46 +29,50 @@ def _shown(value: Any) -> str:
 
 
 def _arguments(raw: Any) -> str:
-    value = raw
-    if isinstance(raw, str):
-        try:
-            value = json.loads(raw)
-        except ValueError:
-            return raw
-    if isinstance(value, dict) and isinstance(value.get("code"), str):
-        return value["code"]
-    return raw if isinstance(raw, str) and not isinstance(value, (dict, list)) else _shown(value) if value else ""
-
-
-def conversation(messages: list[dict]) -> str:
-    """The tagged text of chat messages.
-
-    An assistant message becomes its reasoning, then its tool calls or, if it has none, its content; calls without
-    arguments are left out. Messages without a role are an error.
+    """What a call hands over: the code in its JSON, else the JSON with sorted keys, else the string; '' for anything but a string."""
+    if not isinstance(raw, str) or not raw.strip():
+        return ""
+    try:
+        value = json.loads(raw)
+    except ValueError:
+        return raw
+    return value["code"] if isinstance(value, dict) and isinstance(value.get("code"), str) else json.dumps(value, ensure_ascii=False, sort_keys=True)
+
+
+def _call(call: Any) -> tuple[str, str, str, str] | None:
+    """The message of one tool call; None for one that isn't an object or hands nothing over."""
+    f = (call.get("function") or {}) if isinstance(call, dict) else None
+    text = _arguments(f.get("arguments")) if isinstance(f, dict) else ""
+    if not text:
+        return None
+    name = "python" if f.get("name") in PYTHON_NAMES else f.get("name")
+    return f"assistant to={name}" if name else "assistant", "analysis", text, "<|call|>"
+
+
+def conversation(messages: list[dict], system: str | None = None, developer: str | None = None) -> str:
+    """The tagged text of chat messages, after a prompt of the system and of the developer if given.
+
+    An assistant message becomes its reasoning, then its tool calls or, if it has none, its content; blank ones and
+    calls that hand nothing over are left out. A tool goes by its name. Messages without a role are left out.
     """
-    out: list[tuple[str, str | None, str, str]] = []
+    out: list[tuple[str, str | None, str, str]] = [(r, None, p, "<|end|>") for r, p in (("system", system), ("developer", developer)) if p is not None]
     for m in messages:
-        role = m.get("role")
+        role, content = m.get("role"), m.get("content")
         if not isinstance(role, str) or not role:
-            raise ValueError("message without a role")
+            continue
         if role == "assistant":
-            thought = _shown(m.get("reasoning_content"))
-            if thought.strip():
+            thought, made = m.get("reasoning_content"), m.get("tool_calls")
+            if isinstance(thought, str) and thought.strip():
                 out.append((role, "analysis", thought, "<|end|>"))
-            calls = m.get("tool_calls") or []
-            for c in calls:
-                f = (c or {}).get("function") or {}
-                name = f.get("name") or "tool"
-                text = _arguments(f.get("arguments"))
-                if text.strip():
-                    out.append((f"assistant to={'python' if name in PYTHON_NAMES else name}", "analysis" if name in PYTHON_NAMES else "commentary", text, "<|call|>"))
-            if not calls:
-                out.append((role, "final", _shown(m.get("content")), "<|end|>"))
+            if isinstance(made, list) and made:
+                out += [c for c in map(_call, made) if c]
+            elif isinstance(content, str) and content.strip():
+                out.append((role, "final", content, "<|end|>"))
         elif role == "tool":
-            name = m.get("name") or "tool"
-            out.append(("python" if name in PYTHON_NAMES else name, "commentary", _shown(m.get("content")), "<|end|>"))
+            name = m.get("name")
+            out.append((name.strip() if isinstance(name, str) and name.strip() else role, "commentary", _shown(content), "<|end|>"))
         else:
-            out.append((role, None, _shown(m.get("content")), "<|end|>"))
+            out.append((role, None, _shown(content), "<|end|>"))
     if out and out[-1][3] == "<|end|>":
         out[-1] = (*out[-1][:3], "<|return|>")
     return "".join(f"<|start|>{r}{'<|channel|>' + c if c else ''}<|message|>{t}{e}" for r, c, t, e in out)
@@ -122,9 +131,9 @@ def normalize(df: DataFrame, dataset: str, split: str, text: str = "text", dedup
         from curatrix.operators.curation import keep_first
 
         rows = keep_first(rows, "id", "dataset", "split", F.xxhash64(*df.columns))
-    q = quality_flags("__text")
+    q = quality_flags("__text", F.col("__messages"))
     out = (
-        rows.withColumn("text", F.col("__text"))
+        with_messages(rows, "__text").withColumn("text", F.col("__text"))
         .withColumn("loss_mode", F.lit("assistant_all"))
         .withColumn("quality_valid_harmony", q["valid"])
         .withColumn("quality_completion_nonempty", q["completion_nonempty"])

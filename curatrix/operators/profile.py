@@ -14,21 +14,63 @@ def value_counts(df: DataFrame, column: str, top: int | None = None) -> DataFram
     return out.orderBy(F.desc("n"), "value").limit(top) if top else out
 
 
+def places(df: DataFrame, column: str, *keys: str) -> DataFrame:
+    """(*keys, value, n, before, all): how often each value occurs, how many of its group's are smaller, and how many there are.
+
+    Values are counted, and the counts are summed up along range partitions, so no task holds a group. Nulls don't count.
+    """
+    from curatrix.operators.curation import running_offsets
+
+    key = list(keys) or ["__all"]
+    rows = df.where(F.col(column).isNotNull()).select(*keys, F.col(column).alias("value"))
+    per = (rows if keys else rows.withColumn("__all", F.lit(0))).groupBy(*key, "value").agg(F.count(F.lit(1)).alias("n"))
+    at = running_offsets(per, "n", *key, "value")
+    groups = at.groupBy(*key).agg(F.min("offset").alias("__from"), F.sum("n").alias("all")).select(*[F.col(k).alias(f"__g{i}") for i, k in enumerate(key)], "__from", "all")
+    on = F.lit(True)
+    for i, k in enumerate(key):
+        on = on & F.col(k).eqNullSafe(F.col(f"__g{i}"))
+    return at.join(groups, on).select(*keys, "value", "n", (F.col("offset") - F.col("__from")).alias("before"), "all")
+
+
+def quantiles(df: DataFrame, column: str, shares: dict[str, float], *keys: str) -> DataFrame:
+    """(*keys, one column for each of ``shares``): exact quantiles, interpolated between neighbours; a group without values has none."""
+    at = places(df, column, *keys)
+    holds = lambda place: (F.col("before") <= place) & (place < F.col("before") + F.col("n"))
+    ends = []
+    for name, q in shares.items():
+        place = F.lit(float(q)) * (F.col("all") - 1)
+        for side, k in (("low", F.floor(place)), ("high", F.ceil(place))):
+            ends.append(F.max(F.when(holds(k), F.col("value").cast("double"))).alias(f"__{side}_{name}"))
+    got = at.groupBy(*keys).agg(*ends, F.max("all").alias("__n"))
+    part = lambda q: F.lit(float(q)) * (F.col("__n") - 1) - F.floor(F.lit(float(q)) * (F.col("__n") - 1))
+    between = [(F.col(f"__low_{n}") + part(q) * (F.col(f"__high_{n}") - F.col(f"__low_{n}"))).alias(n) for n, q in shares.items()]
+    return got.where("__n is not null").select(*keys, *between)
+
+
 def nearest_rank(df: DataFrame, column: str, quantiles: tuple[float, ...], *keys: str) -> DataFrame:
     """(*keys, q, value): the value at place round(q (n - 1)) of the sorted values, halves to even; nulls don't count.
 
-    Values are counted first, so only distinct values are sorted.
+    Values are counted first, so only distinct values are sorted; see :func:`places`.
     """
-    per = df.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(*keys)
-    run = per.withColumn("up", F.sum("n").over(w.orderBy("value"))).withColumn("all", F.sum("n").over(w))
-    q = run.withColumn("q", F.explode(F.array(*[F.lit(float(x)) for x in quantiles])))
-    return q.withColumn("place", F.bround(F.col("q") * (F.col("all") - 1), 0)).where((F.col("place") < F.col("up")) & (F.col("place") >= F.col("up") - F.col("n"))).select(*keys, "q", "value")
+    q = places(df, column, *keys).withColumn("q", F.explode(F.array(*[F.lit(float(x)) for x in quantiles])))
+    return q.withColumn("place", F.bround(F.col("q") * (F.col("all") - 1), 0)).where((F.col("place") >= F.col("before")) & (F.col("place") < F.col("before") + F.col("n"))).select(*keys, "q", "value")
 
 
 def numeric_summary(df: DataFrame, column: str, *keys: str) -> DataFrame:
-    """(*keys, n, least, mean, median, most)."""
-    return df.groupBy(*keys).agg(F.count(column).alias("n"), F.min(column).alias("least"), F.avg(column).alias("mean"), F.percentile(column, 0.5).alias("median"), F.max(column).alias("most"))
+    """(*keys, n, least, mean, median, p95, most): the median between neighbours, p95 at the nearest rank; null where no value is."""
+    key = list(keys) or ["__all"]
+    rows = df if keys else df.withColumn("__all", F.lit(0))
+    plain = rows.groupBy(*key).agg(F.count(column).alias("n"), F.min(column).alias("least"), F.avg(column).alias("mean"), F.max(column).alias("most"))
+    out = plain.join(quantiles(rows, column, {"median": 0.5}, *key), key, "left").join(nearest_rank(rows, column, (0.95,), *key).select(*key, F.col("value").alias("p95")), key, "left")
+    return out.select(*keys, "n", "least", "mean", "median", "p95", "most")
+
+
+def json_fields(df: DataFrame, text: str) -> DataFrame:
+    """(field, type, n): how often each field of JSON objects has a value of each type; what is no object has no fields."""
+    kind = lambda v: F.regexp_extract(F.schema_of_variant(v), r"^[A-Z]+", 0)
+    rows = df.select(F.try_parse_json(F.col(text)).alias("v")).where(kind(F.col("v")) == "OBJECT")
+    each = rows.select(F.explode(F.col("v").cast("map<string, variant>")).alias("field", "value"))
+    return each.groupBy("field", kind(F.col("value")).alias("type")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def field_profile(df: DataFrame, *fields: str) -> DataFrame:
@@ -55,7 +97,9 @@ def row_estimate(df: DataFrame, text: str) -> DataFrame:
 def distinct_counts(df: DataFrame, *columns: str, cap: int | None = None, approximate: bool = False) -> DataFrame:
     """(column, n): distinct values of each column, exact or estimated, at most ``cap``."""
     rows = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v")) for c in columns])).alias("x")).select("x.*")
-    n = F.approx_count_distinct("v") if approximate else F.count_distinct("v")
+    # long texts meet as hashes of 128 bits
+    short = F.when(F.octet_length("v") > 64, F.substring(F.sha2("v", 256), 1, 32)).otherwise(F.col("v"))
+    n = F.approx_count_distinct("v") if approximate else F.count_distinct(short)
     return rows.groupBy("column").agg((F.least(n, F.lit(cap)) if cap else n).alias("n"))
 
 

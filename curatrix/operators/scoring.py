@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curatrix.functions.text import erf
+from curatrix.operators.profile import quantiles
 
 
 def in_spans(start: Column, stop: Column, spans: Column) -> Column:
@@ -31,10 +32,10 @@ def topk_entropy(logprobs: Column) -> Column:
 
 def quadrants(tokens: DataFrame, keys: tuple[str, ...], p: str, h: str, q: float = 0.15) -> DataFrame:
     """(*keys, t_p, t_h, cc_rate, lh, hl, hh): thresholds are the q-quantiles of each group, cc the share low in both."""
-    cut = tokens.groupBy(*keys).agg(F.percentile(p, q).alias("t_p"), F.percentile(h, q).alias("t_h"))
+    cut = quantiles(tokens, p, {"t_p": q}, *keys).join(quantiles(tokens, h, {"t_h": q}, *keys), list(keys))
     low_p, low_h = F.col(p) <= F.col("t_p"), F.col(h) <= F.col("t_h")
     share = lambda c: F.avg(c.cast("double"))
-    return tokens.join(F.broadcast(cut), list(keys)).groupBy(*keys).agg(
+    return tokens.join(cut, list(keys)).groupBy(*keys).agg(
         F.max("t_p").alias("t_p"), F.max("t_h").alias("t_h"), share(low_p & low_h).alias("cc_rate"), share(low_p & ~low_h).alias("lh"), share(~low_p & low_h).alias("hl"), share(~low_p & ~low_h).alias("hh")
     )
 
@@ -155,9 +156,53 @@ def welch(m1: str, v1: str, n1: str, m2: str, v2: str, n2: str) -> tuple[Column,
     return z, 1 - erf(F.abs(z) / (2**0.5))
 
 
+def interval(middle: Column, se: Column) -> tuple[Column, Column]:
+    """The bounds of the 95 % interval around a normal estimate."""
+    return middle - 1.96 * se, middle + 1.96 * se
+
+
+def nll_interval(mean: str, variance: str, n: str) -> dict[str, Column]:
+    """Bounds of a mean negative log-likelihood and of its perplexity; a count of 0 counts as 1, a negative variance as 0."""
+    lo, hi = interval(F.col(mean), F.sqrt(F.greatest(F.lit(0.0), F.col(variance)) / F.greatest(F.lit(1), F.coalesce(n, F.lit(1)))))
+    return {"nll_lo": lo, "nll_hi": hi, "ppl_lo": F.exp(lo), "ppl_hi": F.exp(hi)}
+
+
+def delta_interval(m1: str, v1: str, n1: str, m2: str, v2: str, n2: str) -> tuple[Column, Column]:
+    """Bounds of the difference of two means."""
+    return interval(F.col(m2) - F.col(m1), F.sqrt(F.col(v1) / F.col(n1) + F.col(v2) / F.col(n2)))
+
+
+def share_interval(p1: str, n1: str, p2: str, n2: str) -> tuple[Column, Column]:
+    """Bounds of the difference of two shares."""
+    part = lambda p, n: F.col(p) * (1 - F.col(p)) / F.greatest(F.lit(1), F.coalesce(n, F.lit(1)))
+    return interval(F.col(p2) - F.col(p1), F.sqrt(part(p1, n1) + part(p2, n2)))
+
+
+def verdicts(scored: DataFrame, key: str = "seq_len", eps_ppl: float = 0.0, eps_cc: float = 0.0, eps_js: float = 0.0) -> DataFrame:
+    """``scored`` (:func:`degradation`) with ``z``, its score's own deviation, ``p`` and ``verdict``: worse, better or mixed.
+
+    Worse (better) where perplexity, conflicts and, for worse, divergence all moved beyond their eps, z is 2 or more away
+    and p below 0.05.
+    """
+    out = scored.withColumn("z", z_score("score", key))
+    p = 1 - erf(F.abs("z") / (2**0.5))
+    sure = (F.abs("z") >= 2) & (p < 0.05)
+    worse = (F.col("d_ppl") > eps_ppl) & (F.col("d_cc") > eps_cc) & (F.col("js") > eps_js) & (F.col("z") > 0) & sure
+    better = (F.col("d_ppl") < -eps_ppl) & (F.col("d_cc") < -eps_cc) & (F.col("z") < 0) & sure
+    return out.withColumn("p", p).withColumn("verdict", F.when(worse, "worse").when(better, "better").otherwise("mixed"))
+
+
+def accept_summary(lengths: DataFrame, accepted: str, block: int, *keys: str) -> DataFrame:
+    """(*keys, n, mean, p50, p90, p99, rate) of accepted lengths; rate is the share of a block's tokens."""
+    key = list(keys) or ["__all"]
+    rows = lengths if keys else lengths.withColumn("__all", F.lit(0))
+    plain = rows.groupBy(*key).agg(F.count(accepted).alias("n"), F.avg(accepted).alias("mean"), (F.sum(accepted) / F.greatest(F.lit(1), F.count(accepted) * block)).alias("rate"))
+    return plain.join(quantiles(rows, accepted, {"p50": 0.5, "p90": 0.9, "p99": 0.99}, *key), key).select(*keys, "n", "mean", "p50", "p90", "p99", "rate")
+
+
 def token_regions(tokens: DataFrame, p: str, h: str, low: float = 0.15, high: float = 0.85, weights: tuple[float, float, float] = (1.0, -2.0, 0.25)) -> DataFrame:
     """``tokens`` with ``region`` (good, conflict, uncertain) and ``weight``; a null probability or entropy weighs 0."""
-    cut = tokens.agg(F.percentile(p, low).alias("__p"), F.percentile(h, low).alias("__h"))
+    cut = quantiles(tokens, p, {"__p": low}).join(quantiles(tokens, h, {"__h": low}))  # one row
     sure = F.col(h) <= F.col("__h")
     region = F.when(F.col(p).isNull() | F.col(h).isNull(), None).when((F.col(p) >= F.col("__p")) & sure, "good").when((F.col(p) < F.col("__p")) & sure, "conflict").otherwise("uncertain")
     out = tokens.join(F.broadcast(cut)).withColumn("region", region)

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -94,27 +94,79 @@ def quota_top(df: DataFrame, group: str, quota: dict[str, int], score: str, tie:
 def capped_pick(df: DataFrame, k: int, group: str, bucket: str, count: str, score: str, tie: str, fraction: float = 0.35) -> DataFrame:
     """``k`` rows, one a bucket, walking the buckets from the fullest: the best row whose group is still under its cap.
 
-    The cap is max(1, floor(fraction k)); a second walk over the buckets left fills up without it. The walk is
-    sequential, so only rows that can matter go to it: of the fullest 4 k buckets, up to three rows each.
-    """
-    buckets = df.groupBy(bucket).agg(F.max(count).alias("__c")).orderBy(F.desc("__c"), bucket).limit(4 * k)
-    near = df.join(F.broadcast(buckets), bucket)
-    w = Window.partitionBy(bucket).orderBy(F.desc(score), tie)
-    near = near.withColumn("__r", F.row_number().over(w)).where("__r <= 3")
-    schema = df.schema
-    cap = max(1, int(fraction * k))
+    The cap is max(1, floor(fraction k)); a second walk over the buckets left fills up without it. ``tie`` tells the rows
+    of a bucket apart; null groups are a group, null buckets don't come out.
 
-    def walk(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["__c", bucket, "__r"], ascending=[False, True, True])
-        used, seen, picked = {}, set(), []
-        for limit in (cap, k):
-            for i, b, g in zip(p.index, p[bucket], p[group]):
-                if len(picked) < k and b not in seen and used.get(g, 0) < limit:
-                    seen.add(b), picked.append(i)
-                    used[g] = used.get(g, 0) + 1
-        return p.loc[picked, [f.name for f in schema]]
+    The walk goes on in rounds. At most k // cap groups can be full, so of a bucket only the best rows of so many groups
+    and one more can be picked; of the buckets, a round takes as many as rows are still wanted, those first in order in
+    which a group is left. A round ends with all picked or another group full, so there are k // cap + 1 at most.
+    """
+    from curatrix.session import cut_lineage
 
-    return near.groupBy(F.lit(1).alias("__all")).applyInPandas(walk, schema)
+    cap = max(1, int(fraction * k))
+    full = k // cap
+    better = [F.desc(score), F.col(tie)]
+    one = df.where(F.col(bucket).isNotNull()).withColumn("__one", F.row_number().over(Window.partitionBy(bucket, group).orderBy(*better))).where("__one = 1")
+    fill = F.max(count).over(Window.partitionBy(bucket))
+    near = one.withColumn("__r", F.row_number().over(Window.partitionBy(bucket).orderBy(*better))).withColumn("__c", fill).where(F.col("__r") <= full + 1)
+    near = cut_lineage(near.drop("__one"))
+    spark = df.sparkSession
+    kind = near.select(F.col(bucket).alias("__b"), F.col(tie).alias("__t")).schema
+    picked: list[tuple] = []
+    used: dict = {}
+
+    def left() -> DataFrame:
+        if not picked:
+            return near
+        return near.join(spark.createDataFrame([(b,) for b, _ in picked], kind[:1]), F.col(bucket) == F.col("__b"), "left_anti")
+
+    for capped in (True, False):
+        while (want := k - len(picked)) > 0:
+            rows = left()
+            shut = {g for g, n in used.items() if n >= cap} if capped else set()
+            if shut:
+                rows = rows.where(~F.coalesce(F.col(group).isin([g for g in shut if g is not None]), F.lit(False)) & (F.lit(None not in shut) | F.col(group).isNotNull()))
+            ahead = rows.groupBy(bucket).agg(F.max("__c").alias("__c")).orderBy(F.desc("__c"), bucket).limit(want).select(F.col(bucket).alias("__b"))
+            # at most (k // cap + 1) k rows of four values
+            walk = rows.join(ahead, F.col(bucket) == F.col("__b"), "left_semi").select(bucket, group, tie, "__c", "__r").orderBy(F.desc("__c"), bucket, "__r").collect()
+            if not walk:
+                break
+            seen = set()
+            for r in walk:
+                if r[bucket] not in seen and len(picked) < k and (not capped or used.get(r[group], 0) < cap):
+                    seen.add(r[bucket]), picked.append((r[bucket], r[tie]))
+                    used[r[group]] = used.get(r[group], 0) + 1
+    chosen = spark.createDataFrame(picked, kind)
+    return near.join(chosen, (F.col(bucket) == F.col("__b")) & F.col(tie).eqNullSafe(F.col("__t")), "left_semi").select(*df.columns)
+
+
+def best_of_each(df: DataFrame, keys: tuple[str, ...], score: str, id_col: str = "id", seed: int = 0) -> DataFrame:
+    """One row for each combination of ``keys``: the best by score (null and NaN last), then by the CRC-32 of seed and id, then by id."""
+    s = F.when(F.isnan(F.col(score).cast("double")), None).otherwise(F.col(score))
+    tie = F.crc32(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"))).bitwiseAND(0x7FFFFFFF)
+    w = Window.partitionBy(*keys).orderBy(s.desc_nulls_last(), tie, id_col)
+    return df.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
+
+
+def composite_key(stratum: str, key: str, bits: int) -> Column:
+    """The number of a stratum before a key of ``bits`` bits; an error when computed where the two don't fit in 63 bits."""
+    s, k = F.col(stratum).cast("long"), F.col(key).cast("long")
+    fits = (s >= 0) & (k >= 0) & (F.shiftrightunsigned(k, bits) == 0) & (F.shiftrightunsigned(s, 63 - bits) == 0)
+    return F.when(s.isNull() | k.isNull(), None).when(fits, F.shiftleft(s, bits).bitwiseOR(k)).otherwise(F.raise_error(F.lit("composite key beyond 63 bits")).cast("long"))
+
+
+def sequence_backfill(df: DataFrame, k: int, sequence: str, rank: str, most: int, distinct: int) -> DataFrame:
+    """``k`` rows by rank, at most ``most`` of a sequence; first those that are the first of ``distinct`` different sequences.
+
+    A sequence's first row is the same in both phases, so both are one order: the firsts of the sequences ahead, then
+    the rest. ``rank`` must tell rows apart; ``phase`` tells which.
+    """
+    turn = F.row_number().over(Window.partitionBy(sequence).orderBy(rank))
+    near = df.withColumn("__turn", turn).where(F.col("__turn") <= most)
+    ahead = near.where("__turn = 1").orderBy(rank).limit(min(k, distinct)).select(rank)
+    first = near.join(ahead, rank, "left_semi").withColumn("phase", F.lit(1))
+    rest = near.join(ahead, rank, "left_anti").withColumn("phase", F.lit(2))
+    return first.unionByName(rest).orderBy("phase", rank).limit(k).drop("__turn")
 
 
 def sequence_cap(df: DataFrame, sequence: str, rank: str, most: int) -> DataFrame:
@@ -125,7 +177,10 @@ def sequence_cap(df: DataFrame, sequence: str, rank: str, most: int) -> DataFram
 
 def length_strata(df: DataFrame, length: str, quantiles: tuple[float, ...] = (0.0, 0.2, 0.4, 0.6, 0.8, 1.0)) -> tuple[DataFrame, list[float]]:
     """``df`` with ``stratum``, and the edges: quantiles of the length, strictly rising, the last one past the largest."""
-    got = df.agg(F.percentile(length, [float(q) for q in quantiles]).alias("q")).first()["q"]
+    from curatrix.operators.profile import quantiles as exact
+
+    found = exact(df, length, {f"q{i}": q for i, q in enumerate(quantiles)}).first()  # one row
+    got = list(found) if found else []
     if not got:
         return df.withColumn("stratum", F.lit(0)), [0.0]
     edges = [0.0]

@@ -87,9 +87,9 @@ SELECT v.id, v.ingested_at, ok AS valid, ok AND length({STRIP.format("coalesce(f
 FROM v LEFT JOIN a ON v.id = a.id AND v.ingested_at = a.ingested_at""")
 def quality_flags(spark, root):
     """Flags computed from the texts."""
-    q = H.quality_flags("text")
+    q = H.quality_flags("text", F.col("__messages"))
     counts = ("message_count", "assistant_count")
-    return norm(spark, root).select("id", "ingested_at", *[(c.cast("long") if n in counts else c).alias(n) for n, c in q.items()])
+    return H.with_messages(norm(spark, root), "text").select("id", "ingested_at", *[(c.cast("long") if n in counts else c).alias(n) for n, c in q.items()])
 
 
 @query(rf"""WITH {MSG} SELECT n.id, n.ingested_at, coalesce(string_agg({STRIP.format('c')}, chr(10) || chr(10) ORDER BY pos), '') AS prompt
@@ -109,14 +109,22 @@ def reasoning_excerpt_view(spark, root):
     return norm(spark, root).select("id", "ingested_at", H.excerpt_view("text").alias("excerpt"))
 
 
-@query()
+OK = f"v AS (SELECT id, text, ingested_at, NOT contains(regexp_replace(text, '{PATTERN}', chr(1), 'g'), '<|start|>') AS ok FROM normalized WHERE text IS NOT NULL)"
+
+
+@query(rf"""WITH RECURSIVE {MSG}, {OK}, p AS (SELECT id, ingested_at, pos, role, h, c, e,
+  regexp_extract_all(text, '(?s)(.*?<\|start\|>.*?<\|message\|>.*?(?:<\|end\|>|<\|call\|>|<\|return\|>))', 1)[pos] AS w FROM m),
+q AS (SELECT *, sum(length(w)) OVER (PARTITION BY id, ingested_at ORDER BY pos) - length(e) AS stop FROM p)
+SELECT q.id, q.ingested_at, (row_number() OVER (PARTITION BY q.id, q.ingested_at ORDER BY pos) - 1)::INT AS k, (stop - length(c))::INT AS start, stop::INT AS stop, c AS content
+FROM q JOIN v ON v.id = q.id AND v.ingested_at = q.ingested_at AND v.ok WHERE role = 'assistant' OR starts_with(role, 'assistant ')""")
 def assistant_spans(spark, root):
     """Where assistant contents lie in the texts."""
     s = norm(spark, root).select("id", "ingested_at", "text", F.posexplode(H.spans("text")).alias("k", "s"))
     return s.select("id", "ingested_at", "k", "s.start", "s.stop", F.expr("substring(text, s.start + 1, s.stop - s.start)").alias("content"))
 
 
-@query()
+@query(f"""WITH {MSG}, r AS (SELECT id, ingested_at, string_agg('<|start|>' || h || '<|message|>' || c || e, '' ORDER BY pos) AS t FROM m GROUP BY ALL)
+SELECT n.id, n.ingested_at, sha1(coalesce(t, '')) AS rendered FROM normalized n LEFT JOIN r ON n.id = r.id AND n.ingested_at = r.ingested_at WHERE n.text IS NOT NULL""")
 def render_messages(spark, root):
     """Parsed texts rendered again."""
     return norm(spark, root).select("id", "ingested_at", F.sha1(H.render(H.messages("text"))).alias("rendered"))
@@ -141,13 +149,49 @@ def dataset_labels(spark, root):
     return u.select("dataset", "split", X.dataset_domain("dataset").alias("domain"), X.split_difficulty("split").alias("difficulty"), X.safe_name("dataset").alias("safe"))
 
 
-@query()
+# Calls whose role names the tool and whose content holds its arguments, and what tools say; as in these tables, no payload
+# wraps its arguments. An output belongs to a call if the last call or output before it is a call.
+OUTPUT = "role NOT IN ('system','developer','user','assistant') AND NOT starts_with(role, 'assistant') AND trim(role) <> ''"
+KEYSET = f"CASE WHEN json_valid(c) AND starts_with({STRIP.format('c')}, chr(123)) THEN coalesce(nullif(array_to_string(list_sort(list_filter(json_keys(c), lambda x: trim(x) <> ''))[1:16], ','), ''), 'dict_empty') WHEN json_valid(c) AND starts_with({STRIP.format('c')}, '[') THEN 'list' ELSE 'nonjson' END"
+STATUS = f"CASE WHEN {STRIP.format('c')} = '' THEN 'empty' WHEN regexp_matches(lower(c), 'traceback|error|exception') THEN 'error' WHEN {STRIP.format('c')} IN (chr(123) || chr(125), '[]') THEN 'empty' WHEN json_valid(c) AND starts_with({STRIP.format('c')}, chr(123)) AND list_contains(json_keys(c), 'stderr') THEN 'error' ELSE 'ok' END"
+EVENTS = rf"""ev AS (SELECT m.id, m.ingested_at, pos, c, trim(role) AS role, e = '<|call|>' AS call, {OUTPUT} AS output, regexp_extract(role, '^assistant\s+to=(\S+)', 1) AS to_,
+    lag(e = '<|call|>') OVER (PARTITION BY m.id, m.ingested_at ORDER BY pos) AS after_call
+  FROM m JOIN v ON v.id = m.id AND v.ingested_at = m.ingested_at AND v.ok WHERE e = '<|call|>' OR ({OUTPUT}))"""
+SIGNATURE = rf"""{EVENTS},
+ca AS (SELECT id, ingested_at, count(*) AS n, list(to_ ORDER BY pos) AS names, list(to_ || '[' || CASE WHEN json_valid(c) AND starts_with({STRIP.format('c')}, chr(123)) THEN array_to_string(list_sort(json_keys(c))[1:16], ',') ELSE '' END || ']' ORDER BY pos) AS args FROM ev WHERE call GROUP BY ALL),
+o0 AS (SELECT *, row_number() OVER (PARTITION BY id, ingested_at ORDER BY pos) AS k, {STATUS} AS status, {KEYSET} AS ks FROM ev WHERE output AND after_call),
+oc AS (SELECT o0.id, o0.ingested_at, list(status ORDER BY pos) AS status, list(ks ORDER BY pos) AS ks, list(CASE WHEN role = 'tool' THEN names[k] ELSE role END ORDER BY pos) AS roles FROM o0 JOIN ca ON ca.id = o0.id AND ca.ingested_at = o0.ingested_at WHERE k <= ca.n GROUP BY ALL),
+i0 AS (SELECT *, row_number() OVER (PARTITION BY id, ingested_at ORDER BY pos) AS k, {STATUS} AS status, {KEYSET} AS ks FROM ev WHERE output),
+im AS (SELECT id, ingested_at, list(CASE WHEN role = 'tool' THEN 'tool[' || ks || ']' ELSE role END ORDER BY pos) AS names, list(status ORDER BY pos) AS status, list(ks ORDER BY pos) AS ks FROM i0 WHERE k <= 16 GROUP BY ALL),
+fi AS (SELECT id, ingested_at, arg_max(c, pos) FILTER (WHERE (role = 'assistant' OR starts_with(role, 'assistant ')) AND (channel IS NULL OR channel = 'final')) AS fin,
+  arg_min(c, pos) FILTER (WHERE role = 'assistant' AND channel = 'analysis' AND {STRIP.format('c')} <> '') AS plan1, arg_min(c, pos) FILTER (WHERE role = 'assistant' AND {STRIP.format('c')} <> '') AS plan2 FROM m GROUP BY ALL),
+s AS (SELECT v.id, v.ingested_at, v.ok, coalesce(ca.names, im.names, []) AS names, CASE WHEN ca.n IS NULL THEN list_transform(coalesce(im.names, []), lambda x: x || '[]') ELSE ca.args END AS args,
+  CASE WHEN ca.n IS NULL THEN im.status ELSE oc.status END AS status, CASE WHEN ca.n IS NULL THEN im.ks ELSE oc.ks END AS ks, CASE WHEN ca.n IS NULL THEN im.names ELSE oc.roles END AS roles, coalesce(fin, '') AS fin, coalesce(plan1, plan2) AS plan
+  FROM v LEFT JOIN ca ON v.id = ca.id AND v.ingested_at = ca.ingested_at LEFT JOIN oc ON v.id = oc.id AND v.ingested_at = oc.ingested_at LEFT JOIN im ON v.id = im.id AND v.ingested_at = im.ingested_at LEFT JOIN fi ON v.id = fi.id AND v.ingested_at = fi.ingested_at),
+filled AS (SELECT *, list_concat(coalesce(status, []), list_transform(range(len(names) - coalesce(len(status), 0)), lambda x: 'missing')) AS st, list_concat(coalesce(ks, []), list_transform(range(len(names) - coalesce(len(ks), 0)), lambda x: 'missing')) AS kk, list_concat(coalesce(roles, []), list_transform(range(len(names) - coalesce(len(roles), 0)), lambda x: 'missing')) AS rr, {STRIP.format('fin')} AS f FROM s)"""
+
+
+def joined_or_none(column: str, by: str) -> str:
+    return f"coalesce(nullif(array_to_string({column}, '{by}'), ''), 'none')"
+
+
+@query(rf"""WITH {MSG}, {OK}, {SIGNATURE} SELECT id, ingested_at, CASE WHEN NOT ok THEN '' ELSE 'TOOL_SEQ: ' || {joined_or_none('names', ' -> ')} || chr(10) || 'CALLS: ' || len(names) || chr(10) || 'ARGS: ' || {joined_or_none('args', ' | ')} || chr(10) || 'RETURNS: ' || {joined_or_none('st', ' | ')}
+  || chr(10) || 'RET_KEYS: ' || {joined_or_none('kk', ' | ')} || chr(10) || 'RET_ROLES: ' || {joined_or_none('rr', ' | ')} || chr(10) || 'USED_TOOL_OUTPUT: ' || CASE WHEN regexp_matches(lower(fin), '\btool output\b|\bbased on the tool\b|\baccording to the tool\b') THEN 'yes' ELSE 'no' END
+  || chr(10) || 'ANSWER_TYPE: ' || CASE WHEN f = '' THEN 'empty' WHEN contains(f, '\boxed') THEN 'boxed' WHEN contains(f, '```') THEN 'code' WHEN regexp_full_match(f, '[-+]?[0-9]+(\.[0-9]+)?') THEN 'numeric' WHEN substr(f, 1, 1) IN (chr(123), '[') AND json_valid(f) THEN 'json' ELSE 'text' END
+  || CASE WHEN plan IS NULL THEN '' ELSE chr(10) || 'PLAN_EXCERPT: ' || rtrim(substr(array_to_string(list_filter(regexp_split_to_array(plan, '\s+'), lambda x: x <> '')[1:128], ' '), 1, 800)) END END AS signature FROM filled""")
 def behavior_signature(spark, root):
     """Tool behaviour of the conversations."""
     return norm(spark, root).select("id", "ingested_at", T.behaviour_udf("text").alias("signature"))
 
 
-@query()
+@query(f"""WITH {MSG}, {OK}, {EVENTS}, o AS (SELECT id, ingested_at, string_agg(role, ' | ' ORDER BY pos) AS tools, string_agg({KEYSET}, ' | ' ORDER BY pos) AS keysets FROM ev WHERE output GROUP BY ALL)
+SELECT v.id, v.ingested_at, coalesce(tools, '') AS tools, coalesce(keysets, '') AS keysets FROM v LEFT JOIN o ON v.id = o.id AND v.ingested_at = o.ingested_at""")
+def tool_outputs(spark, root):
+    """Which tools speak in a conversation, in order, and the keys of what they say."""
+    return norm(spark, root).select("id", "ingested_at", T.output_roles_udf("text").alias("tools"), T.output_keysets_udf("text").alias("keysets"))
+
+
+@query(f"""WITH {MSG}, {OK}, {EVENTS} SELECT v.id, v.ingested_at, coalesce(bool_and({STRIP.format('c')} = '' OR NOT regexp_matches({STRIP.format('c')}, '^[\[' || chr(123) || ']') OR json_valid(c)), true) AS ok FROM v LEFT JOIN ev ON v.id = ev.id AND v.ingested_at = ev.ingested_at AND ev.output GROUP BY ALL""")
 def tool_payloads(spark, root):
     """Whether the payloads of tools are fine JSON."""
     return norm(spark, root).select("id", "ingested_at", T.tool_payloads_ok_udf("text").alias("ok"))
@@ -312,7 +356,8 @@ def block_packing(spark, root):
     return C.block_pieces(d, "t", 2048, "doc_id").select("doc_id", "block", "first", "length")
 
 
-@query()
+@query("""WITH d AS (SELECT doc_id, source, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM documents), p AS (SELECT unnest(range(200)) AS k)
+SELECT doc_id, source FROM d WHERE i IN (SELECT (k * (SELECT count(*) FROM documents)) // 200 FROM p)""")
 def strided_sample(spark, root):
     """Two hundred documents at even steps."""
     return C.strided(read_table(spark, root, "documents").select("doc_id", "source"), 200, "doc_id")
@@ -377,10 +422,32 @@ def domain_quota_topk(spark, root):
     return L.quota_top(read_table(spark, root, "documents"), "lang", QUOTA, "n_chars", "doc_id").select("lang", "doc_id", "n_chars", "rank")
 
 
-@query("SELECT * FROM (VALUES ('general', 2), ('reasoning', 5), ('tool', 4)) t(mix_group, k)")
+@query("""WITH n AS (SELECT event_type AS name, count(*) AS c FROM events GROUP BY 1), r AS (SELECT name, 1001 * c / sum(c) OVER () AS raw FROM n), f AS (SELECT name, floor(raw + 1e-9) AS k, raw - floor(raw + 1e-9) AS rest FROM r)
+SELECT name, (k + (row_number() OVER (ORDER BY round(rest, 9) DESC, name) <= 1001 - (SELECT sum(k) FROM f))::INT)::INT AS k FROM f""")
 def largest_remainder_alloc(spark, root):
-    """Eleven places in the proportions 4 to 4 to 2."""
-    return spark.createDataFrame(sorted(L.largest_remainder(11, {"tool": 0.4, "reasoning": 0.4, "general": 0.2}).items()), "mix_group string, k int")
+    """1,001 places in proportion to the events of each type."""
+    counts = read_table(spark, root, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    return spark.createDataFrame(sorted(L.largest_remainder(1001, {r.event_type: float(r.n) for r in counts.collect()}).items()), "name string, k int")
+
+
+@query("""SELECT source, lang, max(n_chars) AS n_chars FROM documents WHERE n_chars IS NOT NULL GROUP BY 1, 2""")
+def best_per_domain(spark, root):
+    """The longest document of each source and language."""
+    d = read_table(spark, root, "documents").where("n_chars is not null")
+    return L.best_of_each(d, ("source", "lang"), "n_chars", "doc_id").select("source", "lang", "n_chars")
+
+
+@query("""WITH r AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS t FROM events), n AS (SELECT * FROM r WHERE t <= 4), a AS (SELECT event_id FROM n WHERE t = 1 ORDER BY event_id LIMIT 50),
+p AS (SELECT event_id, user_id, CASE WHEN event_id IN (SELECT event_id FROM a) THEN 1 ELSE 2 END AS phase FROM n) SELECT * FROM p ORDER BY phase, event_id LIMIT 120""")
+def tool_seq_backfill(spark, root):
+    """120 events, 50 users first, four of a user at most."""
+    return L.sequence_backfill(read_table(spark, root, "events").select("event_id", "user_id"), 120, "user_id", "event_id", 4, 50)
+
+
+@query("SELECT l_orderkey, l_linenumber, (l_linenumber::BIGINT << 32) | l_orderkey AS key FROM lineitem")
+def composite_keys(spark, root):
+    """Line number and order in one number."""
+    return read_table(spark, root, "lineitem").select("l_orderkey", "l_linenumber", L.composite_key("l_linenumber", "l_orderkey", 32).alias("key"))
 
 
 @query()
@@ -438,7 +505,13 @@ def outliers(spark, root):
     return G.outliers(near(spark, root))
 
 
-@query()
+def nearest_sql(dims: int) -> str:
+    dot = f"list_inner_product(a.embedding[1:{dims}]::DOUBLE[], b.embedding[1:{dims}]::DOUBLE[])"
+    size = lambda x: f"sqrt(list_inner_product({x}.embedding[1:{dims}]::DOUBLE[], {x}.embedding[1:{dims}]::DOUBLE[]))"
+    return f"SELECT a.vec_id AS q, b.vec_id AS n, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({dot} / {size('a')} / {size('b')}, 6) DESC, b.vec_id) AS r FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0"
+
+
+@query(f"WITH a AS (SELECT * FROM ({nearest_sql(64)}) WHERE r <= 10), b AS (SELECT * FROM ({nearest_sql(32)}) WHERE r <= 10) SELECT (SELECT count(*) FROM a JOIN b USING (q, n)) / 10.0 / (SELECT count(DISTINCT q) FROM a)::DOUBLE AS overlap")
 def neighbour_overlap(spark, root):
     """Neighbours in all dimensions against those in the first 32."""
     e = emb(spark, root)
@@ -624,7 +697,36 @@ def cc_from_histogram(spark, root):
     return c.select("pack", "model", r6("cc_rate").alias("cc_rate"))
 
 
-@query()
+ERF = "(CASE WHEN {x} < 0 THEN -1 ELSE 1 END) * (1 - ((((1.061405429 * (1 / (1 + 0.3275911 * abs({x}))) - 1.453152027) * (1 / (1 + 0.3275911 * abs({x}))) + 1.421413741) * (1 / (1 + 0.3275911 * abs({x}))) - 0.284496736) * (1 / (1 + 0.3275911 * abs({x}))) + 0.254829592) * (1 / (1 + 0.3275911 * abs({x}))) * exp(-{x} * {x}))"
+MEANS = "s AS (SELECT pack, model, avg(logprob) AS m, var_pop(logprob) AS v, count(*) AS n FROM f GROUP BY 1, 2), j AS (SELECT a.pack, a.m AS m1, a.v AS v1, a.n AS n1, b.m AS m2, b.v AS v2, b.n AS n2 FROM s a JOIN s b ON a.pack = b.pack AND a.model = 'm0' AND b.model = 'm1'), z AS (SELECT *, (m2 - m1) / sqrt(v1 / n1 + v2 / n2) AS z, sqrt(v1 / n1 + v2 / n2) AS se FROM j)"
+
+
+@query(f"WITH {FACTS}, s AS (SELECT pack, model, -avg(logprob) AS m, var_pop(logprob) AS v, count(*) AS n FROM f GROUP BY 1, 2) SELECT pack, model, round(m - 1.96 * sqrt(v / n), 6) AS nll_lo, round(m + 1.96 * sqrt(v / n), 6) AS nll_hi, round(exp(m - 1.96 * sqrt(v / n)), 6) AS ppl_lo, round(exp(m + 1.96 * sqrt(v / n)), 6) AS ppl_hi FROM s")
+def nll_intervals(spark, root):
+    """Intervals of each model's mean negative log-likelihood and perplexity."""
+    m = facts(spark, root).groupBy("pack", "model").agg((-F.avg("logprob")).alias("m"), F.var_pop("logprob").alias("v"), F.count(F.lit(1)).alias("n"))
+    return m.select("pack", "model", *[r6(c).alias(n) for n, c in S.nll_interval("m", "v", "n").items()])
+
+
+@query(f"WITH {FACTS}, {MEANS} SELECT pack, round(m2 - m1 - 1.96 * se, 6) AS lo, round(m2 - m1 + 1.96 * se, 6) AS hi FROM z")
+def delta_intervals(spark, root):
+    """Intervals of the models' differences."""
+    m = facts(spark, root).groupBy("pack", "model").agg(F.avg("logprob").alias("m"), F.var_pop("logprob").alias("v"), F.count(F.lit(1)).alias("n"))
+    side = lambda k, i: m.where(F.col("model") == k).select("pack", F.col("m").alias(f"m{i}"), F.col("v").alias(f"v{i}"), F.col("n").alias(f"n{i}"))
+    lo, hi = S.delta_interval("m1", "v1", "n1", "m2", "v2", "n2")
+    return side("m0", 1).join(side("m1", 2), "pack").select("pack", r6(lo).alias("lo"), r6(hi).alias("hi"))
+
+
+@query(f"""{DELTA}, l AS (SELECT *, -d_p AS lost FROM d), c AS (SELECT *, {Z.format('d_ppl')} + {Z.format('d_cc')} + {Z.format('js')} + {Z.format('lost')} AS score FROM l WINDOW w AS (PARTITION BY seq_len)), y AS (SELECT *, {Z.format('score')} AS z FROM c WINDOW w AS (PARTITION BY seq_len)),
+p AS (SELECT *, 1 - {ERF.format(x='(abs(z) / sqrt(2.0))')} AS p FROM y)
+SELECT pack, seq_len, round(z, 5) AS z, round(p, 5) AS p, CASE WHEN d_ppl > 0 AND d_cc > 0 AND js > 0 AND z >= 2 AND p < 0.05 THEN 'worse' WHEN d_ppl < 0 AND d_cc < 0 AND z <= -2 AND p < 0.05 THEN 'better' ELSE 'mixed' END AS verdict FROM p""")
+def pack_verdicts(spark, root):
+    """Whether a pack got definitely worse or better."""
+    v = S.verdicts(S.degradation(deltas(spark, root)))
+    return v.select("pack", "seq_len", F.round("z", 5).alias("z"), F.round("p", 5).alias("p"), "verdict")
+
+
+@query(f"WITH {FACTS}, {MEANS} SELECT pack, round(z, 6) AS z, round(1 - {ERF.format(x='(abs(z) / sqrt(2.0))')}, 6) AS p FROM z")
 def significance(spark, root):
     """Differences of the models' mean log-probabilities, with z and p."""
     m = facts(spark, root).groupBy("pack", "model").agg(F.avg("logprob").alias("m"), F.var_pop("logprob").alias("v"), F.count(F.lit(1)).cast("double").alias("n"))
@@ -686,7 +788,9 @@ def coverage_set(spark, root):
     return E.coverage(E.saliency(router(spark, root)), 0.8).select("layer", "expert")
 
 
-@query()
+@query(f"""WITH {ROUTER}, s AS (SELECT 'd' || token % 2 AS domain, layer, expert, sum(gate * norm) AS g FROM f GROUP BY ALL), c AS (SELECT *, coalesce(sum(g) OVER (PARTITION BY layer, domain ORDER BY g DESC, expert ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, sum(g) OVER (PARTITION BY layer, domain) AS t FROM s),
+k AS (SELECT layer, expert, row_number() OVER (PARTITION BY layer ORDER BY sum(g) DESC, expert) AS r FROM s GROUP BY layer, expert)
+SELECT layer, expert FROM c WHERE t > 0 AND b < 0.6 * t UNION SELECT layer, expert FROM k WHERE r <= 4""")
 def union_keep_sets(spark, root):
     """Coverage sets of two domains together, with a core."""
     f = router(spark, root).withColumn("domain", F.concat(F.lit("d"), F.pmod("token", F.lit(2))))
@@ -706,7 +810,8 @@ def coactivation_pairs(spark, root):
     return E.coactivation(router(spark, root).withColumn("layer", F.pmod("token", F.lit(7))), "token")
 
 
-@query()
+@query("""WITH l AS (SELECT l_orderkey, l_linenumber, (l_returnflag = CASE WHEN l_linestatus = 'O' THEN 'N' ELSE 'R' END)::INT AS same, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag, l_linestatus) AS i FROM lineitem),
+o AS (SELECT l_orderkey, coalesce(min(i) FILTER (WHERE same = 0), max(i) + 1) - 1 AS accepted FROM l GROUP BY 1) SELECT accepted::INT AS accepted, count(*) AS orders FROM o GROUP BY 1""")
 def accept_length(spark, root):
     """Matching beginnings of two sequences."""
     o = read_table(spark, root, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_returnflag", "l_linestatus"))).alias("a"))
@@ -714,8 +819,35 @@ def accept_length(spark, root):
     return o.groupBy(n.alias("accepted")).agg(F.count(F.lit(1)).alias("orders"))
 
 
+@query("""WITH o AS (SELECT o_orderstatus AS s, o_custkey % 9 AS a FROM orders) SELECT s, count(*) AS n, round(avg(a), 6) AS mean, round(quantile_cont(a, 0.5), 6) AS p50, round(quantile_cont(a, 0.9), 6) AS p90, round(quantile_cont(a, 0.99), 6) AS p99, round(sum(a) / (count(*) * 8), 6)::DOUBLE AS rate FROM o GROUP BY 1""")
+def accept_summary(spark, root):
+    """Accepted lengths (made from customer keys) by status."""
+    o = read_table(spark, root, "orders").select(F.col("o_orderstatus").alias("s"), F.pmod("o_custkey", F.lit(9)).alias("a"))
+    return S.accept_summary(o, "a", 8, "s").select("s", "n", *[r6(c).alias(c) for c in ("mean", "p50", "p90", "p99", "rate")])
+
+
 # ---- profiles, labels, time
 
+@query("""WITH n AS (SELECT event_type, value AS v, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events)
+SELECT event_type, count(*) AS n, min(v) AS least, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.5), 6) AS median, max(v) FILTER (WHERE i = round_even(0.95 * (n - 1), 0)) AS p95, max(v) AS most FROM n GROUP BY 1""")
+def numeric_profile(spark, root):
+    """Summary of the events' values."""
+    p = P.numeric_summary(read_table(spark, root, "events"), "value", "event_type")
+    return p.select("event_type", "n", "least", r6("mean").alias("mean"), r6("median").alias("median"), "p95", "most")
+
+
+@query("""WITH k AS (SELECT props, unnest(json_keys(props)) AS field FROM events) SELECT field, 'BIGINT' AS type, count(*) AS n FROM k WHERE json_type(props, '$.' || field) IN ('UBIGINT', 'BIGINT') GROUP BY 1""")
+def json_field_types(spark, root):
+    """Fields of the events' properties by type."""
+    return P.json_fields(read_table(spark, root, "events"), "props")
+
+
+@query("""WITH b AS (SELECT doc_id, CASE WHEN n_chars IS NULL THEN NULL ELSE n_chars * doc_id END AS n FROM documents)
+SELECT doc_id, CASE WHEN coalesce(n, 0) = 0 THEN 'n/a' WHEN n < 1024 THEN format('{:.2f} B', n::DOUBLE) WHEN n < 1048576 THEN format('{:.2f} KB', n / 1024.0) WHEN n < 1073741824 THEN format('{:.2f} MB', n / 1048576.0) ELSE format('{:.2f} GB', n / 1073741824.0) END AS size FROM b""")
+def readable_sizes(spark, root):
+    """Sizes as people read them."""
+    return read_table(spark, root, "documents").select("doc_id", X.human_bytes(F.col("n_chars") * F.col("doc_id")).alias("size"))
+
 @query("""SELECT f AS field, count(v) AS present, count(*) FILTER (WHERE v IS NULL) AS missing, min(length(v))::BIGINT AS least_length, round(avg(length(v)), 6) AS mean_length, max(length(v))::BIGINT AS most_length
 FROM (SELECT 'text' AS f, text AS v FROM documents UNION ALL SELECT 'lang', lang FROM documents UNION ALL SELECT 'source', source FROM documents) GROUP BY 1""")
 def field_profile(spark, root):

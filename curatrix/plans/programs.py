@@ -92,16 +92,14 @@ def bucket_pack(df: DataFrame, target: int, dim: int, group: str, by: str, quota
     return out
 
 
-def tool_pack(df: DataFrame, sketches: DataFrame, target: int, dim: int, bits: int = 24, seed: int = 0, per_sequence: int = 50, min_calls: int = 1) -> DataFrame:
-    """Rows of the tool group with a trace that passes the gate, the best of each (sequence, bucket), few of each sequence."""
+def tool_pack(df: DataFrame, sketches: DataFrame, target: int, dim: int, bits: int = 24, seed: int = 0, per_sequence: int = 50, min_calls: int = 1, distinct: int = 200) -> DataFrame:
+    """Rows of the tool group with a trace that passes the gate, the best of each (sequence, bucket), at most ``per_sequence`` of a sequence and, as far as there are, ``distinct`` sequences."""
     traces = C.keep_first(K.trace_gate(sketches, "embed_text", min_calls), "id", "embed_text").select("id", F.regexp_extract("embed_text", r"(?m)^TOOL_SEQ: (.*)$", 1).alias("tool_seq"))
     rows = df.where("mix_group = 'tool'").join(traces, "id")
     keyed = L.lsh_keys(rows.select("id", "tool_seq", "stats_embed_word_count", "embedding"), "embedding", dim, bits, seed).where("bucket_key is not null")
     best = L.bucket_best(keyed, ("tool_seq", "bucket_key"), "stats_embed_word_count", "id")
-    w = Window.partitionBy("tool_seq").orderBy(F.desc("bucket_count"), F.desc("score"), "id")
-    ranked = best.withColumn("turn", F.row_number().over(w)).where(F.col("turn") <= per_sequence)
-    # first rows of all sequences, then second ones: as many sequences as there are
-    return ranked.orderBy("turn", F.desc("bucket_count"), "id").limit(target)
+    ranked = best.withColumn("rank", F.struct((-F.col("bucket_count")).alias("c"), (-F.col("score")).alias("s"), "id"))
+    return L.sequence_backfill(ranked, target, "tool_seq", "rank", per_sequence, distinct).drop("rank")
 
 
 def manifold_report(df: DataFrame, dim: int, k: int = 10, id_col: str = "id", vec_col: str = "embedding", label: str = "mix_group") -> dict[str, float]:

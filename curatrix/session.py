@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -29,10 +30,12 @@ def build_session(app: str = "curatrix", master: str = "local[*]", shuffle_parti
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``; only where it is unset, a local one (tests)."""
+    """The shared folder named in ``spark.checkpoint.dir``; on a local master, where it may be unset, a local one (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = tempfile.mkdtemp(prefix="curatrix-")
@@ -47,11 +50,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     over joins don't multiply from round to round.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/curatrix-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"curatrix-{spark.sparkContext.applicationId}"
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Deletes the tables that :func:`cut_lineage` wrote for this application; results that read them must be done."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{_folder(spark)}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """The Parquet table ``name`` below ``root``."""
     return spark.read.parquet(f"{root}/{name}.parquet")

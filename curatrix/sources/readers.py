@@ -46,12 +46,14 @@ def ids_file(spark: SparkSession, path: str) -> DataFrame:
 
 
 def mapping_file(spark: SparkSession, path: str) -> DataFrame:
-    """(id, mix_group) of a Parquet file, or of lines with tab or comma; # begins a comment line, of repeated ids the last group in name counts."""
+    """(id, mix_group) of a Parquet file, or of lines with tab or comma; # begins a comment line, of repeated ids the last line counts (in Parquet the last group by name)."""
     if path.endswith(".parquet"):
         rows = spark.read.parquet(path).select("id", "mix_group")
     else:
-        lines = spark.read.text(path).where(~strip("value").startswith("#") & value_has("value"))
-        rows = lines.select(F.split("value", r"[\t,]", 2).alias("p")).select(strip(F.col("p")[0]).alias("id"), strip(F.col("p")[1]).alias("mix_group"))
+        at = F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))  # lines of a file in order
+        lines = spark.read.text(path).select("value", at.alias("at")).where(~strip("value").startswith("#") & value_has("value"))
+        rows = lines.select(F.split("value", r"[\t,]", 2).alias("p"), "at").select(strip(F.col("p")[0]).alias("id"), strip(F.col("p")[1]).alias("mix_group"), "at")
+        return rows.groupBy("id").agg(F.max_by("mix_group", "at").alias("mix_group"))
     return rows.groupBy("id").agg(F.max("mix_group").alias("mix_group"))
 
 

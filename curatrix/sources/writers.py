@@ -54,10 +54,12 @@ def markdown(df: DataFrame, title: str, rows: int = 50) -> str:
     return head + "".join(f"| {' | '.join(str(v) for v in r)} |\n" for r in got)
 
 
-def dictionary_codes(df: DataFrame, column: str) -> tuple[DataFrame, list[str]]:
-    """``df`` with ``code``, and the labels by code, for viewers; labels are few."""
+def dictionary_codes(df: DataFrame, column: str, most: int = 65_536) -> tuple[DataFrame, list[str]]:
+    """``df`` with ``code``, and the labels by code, for viewers; an error for more than ``most`` labels."""
     from curatrix.functions.text import unknown
 
-    labels = sorted(r[0] for r in df.select(unknown(column)).distinct().collect())
+    labels = sorted(r[0] for r in df.select(unknown(column)).distinct().limit(most + 1).collect())
+    if len(labels) > most:
+        raise ValueError(f"more than {most} labels")
     codes = df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(labels)], "__v string, code int")
     return df.withColumn("__v", unknown(column)).join(F.broadcast(codes), "__v").drop("__v"), labels

@@ -168,12 +168,35 @@ def test_accepted_prefix(spark):
     assert [r[0] for r in df.select(S.accepted_prefix(F.col("a"), F.col("b"))).collect()] == [2, 0, 0]
 
 
-def test_tool_traces():
-    t = "<|start|>assistant to=f<|channel|>commentary<|message|>{\"name\": \"g\", \"arguments\": {\"b\": 1, \"a\": 2}}<|call|><|start|>g<|channel|>commentary<|message|>{\"x\": \"Error\"}<|end|><|start|>assistant<|channel|>final<|message|>7<|return|>"
-    assert T.behaviour(t).splitlines() == ["CALLS: 1", "TOOL_SEQ: g[a,b]", "RETURNS: error", "ANSWER: numeric"]
-    assert T.behaviour("<|start|>tool<|message|>{\"b\":1,\"a\":2}<|end|>").splitlines()[:2] == ["CALLS: 1", "TOOL_SEQ: tool[a,b]"]
-    assert [T.return_status(x) for x in ("", "{}", "[]", "ok", "{\"stderr\": 1}", "Traceback")] == ["empty", "empty", "empty", "ok", "error", "error"]
-    assert T.payload_ok("plain") and not T.payload_ok("{bad") and T.behaviour(None).startswith("CALLS: 0")
+def tagged(*messages):
+    return "".join(f"<|start|>{h}<|message|>{c}<|{e}|>" for h, c, e in messages)
+
+
+def test_behaviour_signature():
+    t = tagged(("assistant<|channel|>analysis", " look it\n up ", "end"), ("assistant to=f<|channel|>commentary", '{"name": "g", "arguments": {"b": 1, "a": 2}}', "call"), ("g<|channel|>commentary", '{"x": "Error"}', "end"), ("assistant<|channel|>final", "According to the tool: 7", "return"))
+    assert T.behaviour(t).splitlines() == ["TOOL_SEQ: g", "CALLS: 1", "ARGS: g[a,b]", "RETURNS: error", "RET_KEYS: x", "RET_ROLES: g", "USED_TOOL_OUTPUT: yes", "ANSWER_TYPE: text", "PLAN_EXCERPT: look it up"]
+    # tools that speak without a call stand for calls; the plan falls back to what the assistant says
+    t = tagged(("tool", '{"b":1,"a":2}', "end"), ("assistant<|channel|>final", " 7 ", "return"))
+    assert T.behaviour(t).splitlines()[:2] == ["TOOL_SEQ: tool[a,b]", "CALLS: 1"] and T.behaviour(t).splitlines()[-2:] == ["ANSWER_TYPE: numeric", "PLAN_EXCERPT: 7"]
+    # two calls and one output: the second return is missing; an output before any call is none
+    t = tagged(("x", "early", "end"), ("assistant to=f", '{"q": 1}', "call"), ("assistant to=h", "plain", "call"), ("tool", "[]", "end"), ("tool", "late", "end"))
+    assert T.behaviour(t).splitlines()[:6] == ["TOOL_SEQ: f -> h", "CALLS: 2", "ARGS: f[q] | h[]", "RETURNS: empty | missing", "RET_KEYS: list | missing", "RET_ROLES: f | missing"]
+    # a call without any name doesn't count, more payloads than the cap are cut
+    many = '{"tool_calls": [' + ",".join(['{"name": "k", "arguments": "{\\"z\\": 0}"}'] * 20) + "]}"
+    assert T.behaviour(tagged(("assistant", "{}", "call"))).startswith("TOOL_SEQ: none\nCALLS: 0")
+    assert T.behaviour(tagged(("assistant", many, "call"))).splitlines()[1] == "CALLS: 16" and "k[z]" in T.behaviour(tagged(("assistant", many, "call")))
+    assert T.behaviour("<|start|>user<|message|>open") == "" and T.behaviour(None).splitlines()[1] == "CALLS: 0"
+
+
+def test_tool_payloads():
+    value = {"calls": [{"tool": "a"}, "no"], "call": {"function": {"name": "b"}}, "tool_call": {"name": "c"}, "tool_name": "d"}
+    assert [T.name_of(c) for c in T.calls_in(value)] == ["a", "b", "d"] and T.names_in(value) == ["d", "a", "b", "c"]
+    assert T.calls_in([value, 3])[-1] is value and T.calls_in({"x": 1}) == [] and T.name_of({"name": " ", "function": {"name": "f"}}) == "f"
+    assert T.argument_keys({"function": {"arguments": '{"q": 1}'}}) == ["q"] and T.argument_keys({"x": 1, "name": "n"}) == ["name", "x"] and T.argument_keys({"calls": [{"arguments": {"b": 1}}, {"a": 1}]}) == ["a", "b"]
+    assert [T.return_status(x) for x in ("", "{}", "[]", "ok", '{"stderr": 1}', "Traceback")] == ["empty", "empty", "empty", "ok", "error", "error"]
+    assert T.payload_ok("plain") and not T.payload_ok("{bad") and [T.answer_kind(x) for x in ("{bad", "{}", "-1.5")] == ["text", "json", "numeric"]
+    rows = T.trace(tagged(("tool", '{"name": "s"}', "end"), ("lookup", "{}", "end"), ("assistant", '{"function": {"name": "f"}}', "call"), ("assistant", "text", "call")))
+    assert T.output_roles(rows) == ["s", "lookup"] and T.output_keysets(rows) == ["name", "dict_empty"] and T.call_sequence(rows) == ["f"]
 
 
 def test_conversation():
@@ -182,6 +205,12 @@ def test_conversation():
     assert text == '<|start|>user<|message|>{"a": "é", "b": 1}<|end|><|start|>assistant<|channel|>analysis<|message|>hm<|end|><|start|>assistant to=python<|channel|>analysis<|message|>x<|call|><|start|>assistant to=python<|channel|>analysis<|message|>not json<|call|><|start|>tool<|channel|>commentary<|message|>1<|return|>'
 
 
+def test_conversation_roles():
+    text = N.conversation([{"role": None, "content": "x"}, {"role": "assistant", "content": " "}, {"role": "assistant", "tool_calls": [{"function": {"name": "find", "arguments": '{"b": 1, "a": 2}'}}, "odd", {"function": {"arguments": {"a": 1}}}, {"function": {"arguments": "{}"}}]}, {"role": "tool", "name": " python_code_exec ", "content": None}], system="s", developer="d")
+    assert text == tagged(("system", "s", "end"), ("developer", "d", "end"), ("assistant to=find<|channel|>analysis", '{"a": 2, "b": 1}', "call"), ("assistant<|channel|>analysis", "{}", "call"), ("python_code_exec<|channel|>commentary", "", "return"))
+    assert N.conversation([]) == ""
+
+
 def test_best_setting(spark):
     df = spark.createDataFrame([([("reason_low", 0.5), ("reason_high_no_tool", 0.9), ("reason_medium", 0.9)],), ([],)], "m array<struct<setting:string,accuracy:double>>")
     b = N.best_setting("m")

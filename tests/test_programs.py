@@ -19,7 +19,7 @@ def test_candidates(spark):
     df = spark.createDataFrame([(f"i{k}", TEXT.format(k), True) for k in range(4)] + [("x", "no tags", True), ("y", None, True)], "id string, text string, quality_has_tool boolean")
     assert {r.embed_text for r in G.make_candidates(df).collect()} == {f"q{k}" for k in range(4)}
     seen = G.make_candidates(df, "behavior", ids=spark.createDataFrame([("i1",)], "id string"), require=("quality_has_tool",)).collect()
-    assert [r.id for r in seen] == ["i1"] and "TOOL_SEQ: f1[a]" in seen[0].embed_text
+    assert [r.id for r in seen] == ["i1"] and "ARGS: f1[a]" in seen[0].embed_text
     assert G.pack_by_length(df.selectExpr("id", "length(text) stats_tok_len")).count() == 6
 
 
