@@ -106,10 +106,11 @@ def capped_pick(df: DataFrame, k: int, group: str, bucket: str, count: str, scor
     cap = max(1, int(fraction * k))
     full = k // cap
     better = [F.desc(score), F.col(tie)]
-    one = df.where(F.col(bucket).isNotNull()).withColumn("__one", F.row_number().over(Window.partitionBy(bucket, group).orderBy(*better))).where("__one = 1")
-    fill = F.max(count).over(Window.partitionBy(bucket))
-    near = one.withColumn("__r", F.row_number().over(Window.partitionBy(bucket).orderBy(*better))).withColumn("__c", fill).where(F.col("__r") <= full + 1)
-    near = cut_lineage(near.drop("__one"))
+    rows = df.where(F.col(bucket).isNotNull())
+    one = rows.withColumn("__one", F.row_number().over(Window.partitionBy(bucket, group).orderBy(*better))).where("__one = 1").drop("__one")
+    near = one.withColumn("__r", F.row_number().over(Window.partitionBy(bucket).orderBy(*better))).where(F.col("__r") <= full + 1)
+    fill = rows.groupBy(F.col(bucket).alias("__k")).agg(F.max(count).alias("__c"))
+    near = cut_lineage(near.join(fill, F.col(bucket) == F.col("__k")).drop("__k"))
     spark = df.sparkSession
     kind = near.select(F.col(bucket).alias("__b"), F.col(tie).alias("__t")).schema
     picked: list[tuple] = []

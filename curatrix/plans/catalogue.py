@@ -16,6 +16,7 @@ from curatrix.operators import profile as P
 from curatrix.operators import scoring as S
 from curatrix.operators import selection as L
 from curatrix.operators import tools as T
+from curatrix.schemas import NORMALIZED
 from curatrix.session import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -109,10 +110,10 @@ def reasoning_excerpt_view(spark, root):
     return norm(spark, root).select("id", "ingested_at", H.excerpt_view("text").alias("excerpt"))
 
 
-OK = f"v AS (SELECT id, text, ingested_at, NOT contains(regexp_replace(text, '{PATTERN}', chr(1), 'g'), '<|start|>') AS ok FROM normalized WHERE text IS NOT NULL)"
+WHOLE = f"v AS (SELECT id, text, ingested_at, NOT contains(regexp_replace(text, '{PATTERN}', chr(1), 'g'), '<|start|>') AS ok FROM normalized WHERE text IS NOT NULL)"
 
 
-@query(rf"""WITH RECURSIVE {MSG}, {OK}, p AS (SELECT id, ingested_at, pos, role, h, c, e,
+@query(rf"""WITH RECURSIVE {MSG}, {WHOLE}, p AS (SELECT id, ingested_at, pos, role, h, c, e,
   regexp_extract_all(text, '(?s)(.*?<\|start\|>.*?<\|message\|>.*?(?:<\|end\|>|<\|call\|>|<\|return\|>))', 1)[pos] AS w FROM m),
 q AS (SELECT *, sum(length(w)) OVER (PARTITION BY id, ingested_at ORDER BY pos) - length(e) AS stop FROM p)
 SELECT q.id, q.ingested_at, (row_number() OVER (PARTITION BY q.id, q.ingested_at ORDER BY pos) - 1)::INT AS k, (stop - length(c))::INT AS start, stop::INT AS stop, c AS content
@@ -175,7 +176,7 @@ def joined_or_none(column: str, by: str) -> str:
     return f"coalesce(nullif(array_to_string({column}, '{by}'), ''), 'none')"
 
 
-@query(rf"""WITH {MSG}, {OK}, {SIGNATURE} SELECT id, ingested_at, CASE WHEN NOT ok THEN '' ELSE 'TOOL_SEQ: ' || {joined_or_none('names', ' -> ')} || chr(10) || 'CALLS: ' || len(names) || chr(10) || 'ARGS: ' || {joined_or_none('args', ' | ')} || chr(10) || 'RETURNS: ' || {joined_or_none('st', ' | ')}
+@query(rf"""WITH {MSG}, {WHOLE}, {SIGNATURE} SELECT id, ingested_at, CASE WHEN NOT ok THEN '' ELSE 'TOOL_SEQ: ' || {joined_or_none('names', ' -> ')} || chr(10) || 'CALLS: ' || len(names) || chr(10) || 'ARGS: ' || {joined_or_none('args', ' | ')} || chr(10) || 'RETURNS: ' || {joined_or_none('st', ' | ')}
   || chr(10) || 'RET_KEYS: ' || {joined_or_none('kk', ' | ')} || chr(10) || 'RET_ROLES: ' || {joined_or_none('rr', ' | ')} || chr(10) || 'USED_TOOL_OUTPUT: ' || CASE WHEN regexp_matches(lower(fin), '\btool output\b|\bbased on the tool\b|\baccording to the tool\b') THEN 'yes' ELSE 'no' END
   || chr(10) || 'ANSWER_TYPE: ' || CASE WHEN f = '' THEN 'empty' WHEN contains(f, '\boxed') THEN 'boxed' WHEN contains(f, '```') THEN 'code' WHEN regexp_full_match(f, '[-+]?[0-9]+(\.[0-9]+)?') THEN 'numeric' WHEN substr(f, 1, 1) IN (chr(123), '[') AND json_valid(f) THEN 'json' ELSE 'text' END
   || CASE WHEN plan IS NULL THEN '' ELSE chr(10) || 'PLAN_EXCERPT: ' || rtrim(substr(array_to_string(list_filter(regexp_split_to_array(plan, '\s+'), lambda x: x <> '')[1:128], ' '), 1, 800)) END END AS signature FROM filled""")
@@ -184,14 +185,14 @@ def behavior_signature(spark, root):
     return norm(spark, root).select("id", "ingested_at", T.behaviour_udf("text").alias("signature"))
 
 
-@query(f"""WITH {MSG}, {OK}, {EVENTS}, o AS (SELECT id, ingested_at, string_agg(role, ' | ' ORDER BY pos) AS tools, string_agg({KEYSET}, ' | ' ORDER BY pos) AS keysets FROM ev WHERE output GROUP BY ALL)
+@query(f"""WITH {MSG}, {WHOLE}, {EVENTS}, o AS (SELECT id, ingested_at, string_agg(role, ' | ' ORDER BY pos) AS tools, string_agg({KEYSET}, ' | ' ORDER BY pos) AS keysets FROM ev WHERE output GROUP BY ALL)
 SELECT v.id, v.ingested_at, coalesce(tools, '') AS tools, coalesce(keysets, '') AS keysets FROM v LEFT JOIN o ON v.id = o.id AND v.ingested_at = o.ingested_at""")
 def tool_outputs(spark, root):
     """Which tools speak in a conversation, in order, and the keys of what they say."""
     return norm(spark, root).select("id", "ingested_at", T.output_roles_udf("text").alias("tools"), T.output_keysets_udf("text").alias("keysets"))
 
 
-@query(f"""WITH {MSG}, {OK}, {EVENTS} SELECT v.id, v.ingested_at, coalesce(bool_and({STRIP.format('c')} = '' OR NOT regexp_matches({STRIP.format('c')}, '^[\[' || chr(123) || ']') OR json_valid(c)), true) AS ok FROM v LEFT JOIN ev ON v.id = ev.id AND v.ingested_at = ev.ingested_at AND ev.output GROUP BY ALL""")
+@query(f"""WITH {MSG}, {WHOLE}, {EVENTS} SELECT v.id, v.ingested_at, coalesce(bool_and({STRIP.format('c')} = '' OR NOT regexp_matches({STRIP.format('c')}, '^[\[' || chr(123) || ']') OR json_valid(c)), true) AS ok FROM v LEFT JOIN ev ON v.id = ev.id AND v.ingested_at = ev.ingested_at AND ev.output GROUP BY ALL""")
 def tool_payloads(spark, root):
     """Whether the payloads of tools are fine JSON."""
     return norm(spark, root).select("id", "ingested_at", T.tool_payloads_ok_udf("text").alias("ok"))
@@ -899,7 +900,23 @@ def hourly_event_pool(spark, root):
     return hourly(read_table(spark, root, "events"), "ts", "event_type", "value").withColumn("total", F.round("total", 4))
 
 
-@query()
+NT = "nt AS (SELECT sha1(text) AS id, text, TIMESTAMP '2000-01-01 00:00:00' AS ingested_at, dataset, split FROM normalized WHERE text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY text ORDER BY dataset NULLS FIRST, split NULLS FIRST) = 1)"
+TYPES = {"string": "VARCHAR", "boolean": "BOOLEAN", "bigint": "BIGINT", "double": "DOUBLE", "array<string>": "VARCHAR[]"}
+
+
+def normalised_columns(given: dict[str, str]) -> str:
+    """The columns of the schema, nulls for those that aren't given."""
+    return ", ".join(f"{given.get(f.name, 'NULL')}::{TYPES[f.dataType.simpleString()]} AS {f.name}" for f in NORMALIZED)
+
+
+@query(rf"""WITH {NT}, {MSG.replace('FROM normalized WHERE', 'FROM nt WHERE')}, {WHOLE.replace('FROM normalized WHERE', 'FROM nt WHERE')},
+g AS (SELECT id, bool_or(role NOT IN ('system','developer','user','assistant') AND NOT starts_with(role, 'assistant')) AS tool, arg_max(c, pos) FILTER (WHERE (role = 'assistant' OR starts_with(role, 'assistant ')) AND (channel IS NULL OR channel = 'final')) AS fin,
+  bool_and(NOT ({OUTPUT}) OR {STRIP.format('c')} = '' OR NOT regexp_matches({STRIP.format('c')}, '^[\[' || chr(123) || ']') OR json_valid(c)) AS fine FROM m GROUP BY 1)
+SELECT {normalised_columns({'id': 'v.id', 'dataset': 'nt.dataset', 'split': 'nt.split', 'text': 'v.text', 'loss_mode': "'assistant_all'", 'quality_valid_harmony': 'ok', 'quality_completion_nonempty': f"(ok AND length({STRIP.format("coalesce(fin, '')")}) >= 32)",
+  'quality_has_tool': "(ok AND (contains(v.text, '<|call|>') OR coalesce(tool, false)))", 'quality_valid_tool_schema': '(ok AND coalesce(fine, true))', 'stats_char_len': 'length(v.text)',
+  'meta_domain': "(CASE WHEN contains(lower(dataset), 'proof') THEN 'proof' WHEN contains(lower(dataset), 'agentic') THEN 'agentic' WHEN contains(lower(dataset), 'science') THEN 'science' WHEN contains(lower(dataset), 'instruction') THEN 'chat_if' ELSE 'math' END)",
+  'meta_difficulty_bin': "(CASE WHEN starts_with(lower(split), 'low') THEN 'low' WHEN starts_with(lower(split), 'medium') THEN 'medium' WHEN starts_with(lower(split), 'high') THEN 'high' END)"})}
+FROM v JOIN nt ON nt.id = v.id LEFT JOIN g ON g.id = v.id""")
 def normalize_texts(spark, root):
     """Texts brought to the normalised schema."""
     from curatrix.operators.normalize import normalize

@@ -17,4 +17,7 @@ def spark():
     s = build_session("tests", "local[4]", 4, spark__driver__memory="3g", spark__ui__showConsoleProgress="false")
     s.sparkContext.setLogLevel("OFF")
     yield s
+    from curatrix.session import drop_tables
+
+    drop_tables(s)
     s.stop()

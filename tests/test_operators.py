@@ -139,6 +139,84 @@ def test_capped_pick(spark):
     assert len({r.b for r in got}) == 4 and sorted(r.g for r in got) == ["a", "a", "b", "b"]
 
 
+def plain_walk(rows, k, fraction):
+    """The two walks one row after the other: rows are (bucket, group, count, score, id)."""
+    cap, used, seen, out = max(1, int(fraction * k)), {}, set(), []
+    fill = {b: max(r[2] for r in rows if r[0] == b) for b, *_ in rows}
+    for limit in (cap, k):
+        for b in sorted(fill, key=lambda b: (-fill[b], b)):
+            for r in sorted((r for r in rows if r[0] == b), key=lambda r: (-r[3], r[4])):
+                if b not in seen and len(out) < k and used.get(r[1], 0) < limit:
+                    seen.add(b), out.append(r[4])
+                    used[r[1]] = used.get(r[1], 0) + 1
+    return sorted(out)
+
+
+@pytest.mark.parametrize("groups,k,fraction", [("a", 9, 0.35), ("aaaaaab", 12, 0.35), ("abc", 10, 0.2), ("abcdefgh", 40, 0.5), ("aabN", 7, 0.35)])
+def test_capped_pick_is_the_walk(spark, groups, k, fraction):
+    rng = random.Random(k)
+    rows = [(rng.randrange(30), g if (g := rng.choice(groups)) != "N" else None, rng.randrange(4), float(rng.randrange(6)), i) for i in range(150)]
+    df = spark.createDataFrame(rows, "b int, g string, c int, s double, id int")
+    assert sorted(r.id for r in L.capped_pick(df, k, "g", "b", "c", "s", "id", fraction).collect()) == plain_walk(rows, k, fraction)
+    assert L.capped_pick(df.limit(0), k, "g", "b", "c", "s", "id", fraction).count() == 0
+
+
+def test_backfill_takes_sequences_first(spark):
+    rng = random.Random(2)
+    rows = [(i, rng.choice("aaaabbcdef")) for i in range(60)]
+    got = {r.i: r.phase for r in L.sequence_backfill(spark.createDataFrame(rows, "i int, s string"), 12, "s", "i", 3, 4).collect()}
+    first = {}
+    for i, q in rows:
+        first.setdefault(q, i)
+    ahead = sorted(first.values())[:4]
+    assert sorted(i for i, p in got.items() if p == 1) == ahead
+    count, rest = {dict(rows)[i]: 1 for i in ahead}, []
+    for i, q in rows:  # the second walk
+        if i not in ahead and count.get(q, 0) < 3 and len(rest) < 8:
+            rest.append(i)
+            count[q] = count.get(q, 0) + 1
+    assert sorted(i for i, p in got.items() if p == 2) == rest
+
+
+def test_keys_ids_and_lengths(spark):
+    df = spark.createDataFrame([(3, 5, "a", [1, 2]), (None, 1, "b", None)], "s long, k long, id string, input_ids array<int>")
+    assert [r[0] for r in df.select(L.composite_key("s", "k", 4)).collect()] == [3 * 16 + 5, None]
+    with pytest.raises(Exception, match="beyond 63 bits"):
+        df.select(L.composite_key("s", "k", 2)).collect()
+    assert [r[0] for r in df.select(C.token_length(df)).collect()] == [2, None]
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
+    assert C.require_all_ids(df, ids("a", "a", None)).count() == 1
+    with pytest.raises(ValueError, match="2 ids, 1 rows"):
+        C.require_all_ids(df, ids("a", "z"))
+    best = spark.createDataFrame([("x", "d", 1.0), ("y", "d", 1.0), ("z", "d", float("nan")), ("x", "e", None)], "id string, domain string, score double")
+    got = {r.domain: r.id for r in L.best_of_each(best, ("domain",), "score", seed=7).collect()}
+    import zlib
+
+    assert got == {"d": min("xy", key=lambda i: zlib.crc32(f"7:{i}".encode()) & 0x7FFFFFFF), "e": "x"}
+    sizes = spark.createDataFrame([(0,), (None,), (1023,), (1024,), (7296,), (1 << 61,)], "n long")
+    assert [r[0] for r in sizes.select(X.human_bytes("n")).collect()] == ["n/a", "n/a", "1023.00 B", "1.00 KB", "7.12 KB", "2048.00 PB"]
+
+
+def test_quantiles_without_gathering(spark):
+    from curatrix.operators import profile as P
+
+    rng = np.random.default_rng(6)
+    rows = [("ab"[int(k)], float(v)) for k, v in zip(rng.random(500) < 0.3, np.round(rng.random(500), 2))] + [("c", None), (None, 4.0), (None, 5.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: (r.lo, r.mid) for r in P.quantiles(df, "v", {"lo": 0.15, "mid": 0.5}, "g").collect()}
+    for g in ("a", "b", None):
+        x = [v for k, v in rows if k == g]
+        assert got[g] == pytest.approx((np.quantile(x, 0.15), np.quantile(x, 0.5)))
+    assert "c" not in got and P.quantiles(df.limit(0), "v", {"m": 0.5}).count() == 0
+    one = P.numeric_summary(df, "v").first()
+    assert (one.n, one.most) == (502, 5.0) and one.median == pytest.approx(np.median([v for _, v in rows if v is not None]))
+
+
+def test_verdicts(spark):
+    d = spark.createDataFrame([(f"p{i}", 1, 0.0, 0.0, 0.0, 0.0) for i in range(9)] + [("bad", 1, 2.0, 0.3, -0.2, 0.4)], "pack string, seq_len int, d_ppl double, d_cc double, d_p double, js double")
+    assert {r.pack: r.verdict for r in S.verdicts(S.degradation(d)).collect()} == {f"p{i}": "mixed" for i in range(9)} | {"bad": "worse"}
+
+
 def test_scores(spark):
     t = spark.createDataFrame([("a", -1.0), ("a", float("-inf")), ("b", float("nan")), ("c", -100.0)], "k string, logprob double")
     got = {r.k: r for r in S.perplexity(t, ("k",)).collect()}
@@ -228,7 +306,7 @@ def test_files(spark, tmp_path):
     assert sorted((r.text, r.bad) for r in rows if not r.bad) == [("x", False)] and sum(r.bad for r in rows) == 2
     (tmp_path / "ids.txt").write_text(" a \n\nb\n")
     assert sorted(r.id for r in R.ids_file(spark, str(tmp_path / "ids.txt")).collect()) == ["a", "b"]
-    (tmp_path / "map.tsv").write_text("# no\na\ttool\nb,general\n")
+    (tmp_path / "map.tsv").write_text("# no\na\tzebra\na\ttool\nb,general\n")
     assert {r.id: r.mix_group for r in R.mapping_file(spark, str(tmp_path / "map.tsv")).collect()} == {"a": "tool", "b": "general"}
     names = spark.createDataFrame([("/x/train-00001.parquet",), ("high.part_02.jsonl",), ("low.jsonl.gz",)], "n string").select(R.split_of(F.col("n"))).collect()
     assert [r[0] for r in names] == ["train", "high_part02", "low"]
@@ -250,3 +328,24 @@ def test_stream(spark, tmp_path):
     df.write.parquet(str(tmp_path / "in"))
     pool_stream(spark, str(tmp_path / "in"), df.schema, str(tmp_path / "out")).awaitTermination(60)
     assert sorted(r.pool for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["missing_correctness_meta", "tool_use"]
+    # a restart goes on where the last run ended
+    pool_stream(spark, str(tmp_path / "in"), df.schema, str(tmp_path / "out")).awaitTermination(60)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_shared_folder_is_named_on_a_cluster(spark, monkeypatch):
+    from curatrix import session
+
+    class Cluster:
+        conf = type("N", (), {"get": lambda self, k, d=None: d})()
+        sparkContext = type("C", (), {"master": "spark://m:7077", "applicationId": "x"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_folder(Cluster)
+    Cluster.sparkContext.master = "local[4]"
+    assert session.shared_folder(Cluster).startswith("file:/")
+    kept = session.cut_lineage(spark.range(3))
+    assert kept.count() == 3
+    session.drop_tables(spark)
+    with pytest.raises(Exception):  # noqa: B017
+        kept.count()
