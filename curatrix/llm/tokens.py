@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from curatrix.llm.languages import UNKNOWN, WORDS, tongue
+from curatrix.session import cut_lineage
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
@@ -87,11 +88,22 @@ def label(name: str) -> Column:
     return F.nullif(F.lower(F.regexp_replace(name, r"(?U)^\s+|\s+$", "")), F.lit(""))
 
 
+#: Repeated ids that are sent to all executors (about 50 MB); more are joined by shuffles.
+REPEATED = 1_000_000
+
+
 def one_per_id(df: DataFrame, id_col: str, order: list[str]) -> DataFrame:
-    """The first row of each id by ``order``; rows without an id stay, each for itself."""
+    """The first row of each id by ``order``; rows without an id stay, each for itself.
+
+    Only ids are shuffled to see which are repeated; of the rows, texts and all, only theirs are.
+    """
+    ids = df.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__again")).agg(F.count(F.lit(1)).alias("__n"))
+    again = cut_lineage(ids.where("__n > 1").select("__again"))
+    few = F.broadcast(again) if again.count() <= REPEATED else again
+    same = F.col(id_col) == F.col("__again")
     w = Window.partitionBy(id_col).orderBy(*order)
-    first = df.where(F.col(id_col).isNotNull()).withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
-    return first.unionByName(df.where(F.col(id_col).isNull()))
+    first = df.join(few, same, "left_semi").withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
+    return df.join(few, same, "left_anti").unionByName(first)
 
 
 def token_budget(df: DataFrame, slices: dict[str, Column], text: str = "text", id_col: str | None = "id", order: str | None = "ingested_at", language: str | None = "language", vocabulary: str = VOCABULARY, held: int = 500_000) -> DataFrame:
