@@ -48,14 +48,11 @@ def marks(words: Iterable[str], text: str) -> tuple[dict[str, float], dict[str,
     hits: dict[str, float] = {}
     full: dict[str, float] = {}
     total = 0.0
-    get = _OF.get
-    for w in words:
-        of = get(w)
-        if of:
-            total += 1
-            for k, v in of:
-                hits[k] = hits.get(k, 0.0) + v
-                full[k] = full.get(k, 0.0) + 1
+    for w, n in Counter(filter(_OF.__contains__, words)).items():
+        total += n
+        for k, v in _OF[w]:
+            hits[k] = hits.get(k, 0.0) + v * n
+            full[k] = full.get(k, 0.0) + n
     if not text.isascii():
         for k, pattern, weight in SCRIPTS:
             n = len(pattern.findall(text)) * weight
