@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curatrix.operators.profile import quantiles
+from curatrix.operators.profile import column_quantiles
 
 
 def l2_norm(vec: str) -> Column:
@@ -133,8 +133,8 @@ def project(df: DataFrame, vec_col: str, components: np.ndarray, mean: np.ndarra
 
 def density_bins(df: DataFrame, x: str, y: str, z: str, groups: tuple[str, ...], grid_2d: int = 256, grid_3d: int = 96, low: float = 0.005, high: float = 0.995) -> DataFrame:
     """(kind, *groups, bx, by, bz, count): rows in the squares of three planes and in the cubes; an axis not used is -1."""
-    found = [quantiles(df, c, {"low": low, "high": high}).first() for c in (x, y, z)]  # one row an axis
-    q = [(r.low, r.high) if r else (0.0, 1.0) for r in found]
+    found = {r["column"]: (r.low, r.high) for r in column_quantiles(df, (x, y, z), {"low": low, "high": high}).collect()}  # one row an axis
+    q = [found.get(c, (0.0, 1.0)) for c in (x, y, z)]
 
     def cell(i: int, c: str, n: int) -> Column:
         lo, hi = q[i]

@@ -47,6 +47,12 @@ def quantiles(df: DataFrame, column: str, shares: dict[str, float], *keys: str)
     return got.where("__n is not null").select(*keys, *between)
 
 
+def column_quantiles(df: DataFrame, columns: tuple[str, ...], shares: dict[str, float], *keys: str) -> DataFrame:
+    """(*keys, column, one column for each of ``shares``): exact quantiles of several columns in one go."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")
+    return quantiles(df.select(*keys, each).select(*keys, "x.column", "x.v"), "v", shares, *keys, "column")
+
+
 def nearest_rank(df: DataFrame, column: str, quantiles: tuple[float, ...], *keys: str) -> DataFrame:
     """(*keys, q, value): the value at place round(q (n - 1)) of the sorted values, halves to even; nulls don't count.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curatrix.functions.text import erf
-from curatrix.operators.profile import quantiles
+from curatrix.operators.profile import column_quantiles, quantiles
 
 
 def in_spans(start: Column, stop: Column, spans: Column) -> Column:
@@ -32,7 +32,8 @@ def topk_entropy(logprobs: Column) -> Column:
 
 def quadrants(tokens: DataFrame, keys: tuple[str, ...], p: str, h: str, q: float = 0.15) -> DataFrame:
     """(*keys, t_p, t_h, cc_rate, lh, hl, hh): thresholds are the q-quantiles of each group, cc the share low in both."""
-    cut = quantiles(tokens, p, {"t_p": q}, *keys).join(quantiles(tokens, h, {"t_h": q}, *keys), list(keys))
+    each = column_quantiles(tokens, (p, h), {"t": q}, *keys)
+    cut = each.groupBy(*keys).agg(*[F.max(F.when(F.col("column") == c, F.col("t"))).alias(n) for c, n in ((p, "t_p"), (h, "t_h"))])
     low_p, low_h = F.col(p) <= F.col("t_p"), F.col(h) <= F.col("t_h")
     share = lambda c: F.avg(c.cast("double"))
     return tokens.join(cut, list(keys)).groupBy(*keys).agg(
@@ -202,7 +203,8 @@ def accept_summary(lengths: DataFrame, accepted: str, block: int, *keys: str) ->
 
 def token_regions(tokens: DataFrame, p: str, h: str, low: float = 0.15, high: float = 0.85, weights: tuple[float, float, float] = (1.0, -2.0, 0.25)) -> DataFrame:
     """``tokens`` with ``region`` (good, conflict, uncertain) and ``weight``; a null probability or entropy weighs 0."""
-    cut = quantiles(tokens, p, {"__p": low}).join(quantiles(tokens, h, {"__h": low}))  # one row
+    each = column_quantiles(tokens, (p, h), {"t": low})
+    cut = each.agg(*[F.max(F.when(F.col("column") == c, F.col("t"))).alias(n) for c, n in ((p, "__p"), (h, "__h"))])  # one row
     sure = F.col(h) <= F.col("__h")
     region = F.when(F.col(p).isNull() | F.col(h).isNull(), None).when((F.col(p) >= F.col("__p")) & sure, "good").when((F.col(p) < F.col("__p")) & sure, "conflict").otherwise("uncertain")
     out = tokens.join(F.broadcast(cut)).withColumn("region", region)
