@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curatrix.llm.vectors import DIM, matrix, pack, pick_pivots, pivot_count, unit, unpack, usable_rows
+from curatrix.operators.geometry import knn
 from curatrix.session import cut_lineage
 
 BLOCK = 1024
@@ -205,8 +206,10 @@ def permutation_neighbours(
 
     Parameters: ``pivots`` (:func:`pivot_count` unless given), ``posts`` inverted files a
     vector is posted in (None: :func:`posts_for`), ``prefix`` pivots of its order, ``candidates`` kept by footrule in a
-    file before cosines count (None: the whole file), ``least_cosine`` to leave out weaker neighbours early. Approximate: a neighbour is found if it shares one of
-    its nearest pivots; an id may come out with fewer than ``k``.
+    file before cosines count (None: the whole file), ``least_cosine`` to leave out
+    weaker neighbours early. Approximate: a neighbour is found if it shares one of its nearest pivots. An id whose files
+    hold fewer than ``k`` others is held against all rows, unless ``least_cosine`` is given; so it has fewer only where
+    there are no more.
 
     Null ids and unusable vectors (null, other length, NaN, infinite or null values, all zero) neither ask nor answer.
     Repeated rows of an id count once; where they hold different vectors, each is searched and the best cosine counts.
@@ -260,7 +263,20 @@ def permutation_neighbours(
     # at most posts * k (and k for copies) rows an id: a bounded array
     ranked = found.groupBy("id").agg(F.sort_array(F.collect_list(F.struct((-F.col("cosine")).alias("d"), "neighbour"))).alias("all"))
     once = F.filter("all", lambda x, i: F.array_position(F.col("all.neighbour"), x["neighbour"]) == i + 1)
-    return ranked.select("id", F.explode(F.slice(once, 1, k)).alias("n")).select("id", "n.neighbour", (-F.col("n.d")).alias("cosine"))
+    near = ranked.select("id", F.explode(F.slice(once, 1, k)).alias("n")).select("id", "n.neighbour", (-F.col("n.d")).alias("cosine"))
+    return near if least_cosine is not None else completed(near, usable_rows(df, id_col, vec_col, dim), k)
+
+
+def completed(near: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """``near`` with all ``k`` neighbours of those ids whose files hold too few: these, few by nature, are held against all rows in blocks."""
+    near = cut_lineage(near)
+    have = near.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("id")
+    short = cut_lineage(vectors.join(have, "id", "left_anti").groupBy("id").agg(F.min("vec").alias("vec")))
+    if not short.limit(1).count():
+        return near
+    once = vectors.groupBy("id").agg(F.min("vec").alias("vec"))
+    found = knn(once, short, k, "id", "vec").select(F.col("query").alias("id"), "neighbour", "cosine")
+    return near.join(short.select("id"), "id", "left_anti").unionByName(found)
 
 
 def smallest_ids(copies: DataFrame, k: int) -> DataFrame:

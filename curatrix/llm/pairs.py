@@ -290,7 +290,8 @@ def features(rows: list[tuple[str, str]], known: frozenset[str]) -> tuple[np.nda
         head, foot = two & (place[:-1] < 3), two & (left[:-1] <= 12)
         grams += [(of[:-1][head], b[head] * 97 + 5), (of[:-1][foot], b[foot] * 613 + 3)]
         key = np.concatenate([o * SPACE + NAMED + (g >> 7) % (SPACE - NAMED) for o, g in grams])
-        key = np.unique(key)
+        key.sort()
+        key = key[np.append(True, key[1:] != key[:-1])]
         row.append(key // SPACE), feature.append(key % SPACE)
     value = [np.ones(len(f), np.float32) for f in feature[:2]]
     if len(row) > 2:
