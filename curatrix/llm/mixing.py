@@ -23,6 +23,10 @@ def rate(theta: Column, repeats: Column) -> Column:
     return repeats / (F.lit(1.0) + F.exp(-theta))
 
 
+#: A document with more than such a part of its source's target is a long one.
+LONG = 200
+
+
 class Balance(NamedTuple):
     """``tilt``: (key, a, b, c, mean, max_repeats) of each source that is used; ``state``: (key, gap, most, short, steps) of each source with a weight."""
 
@@ -111,8 +115,8 @@ def mix_sources(sized: DataFrame, weights: DataFrame, solved: Balance | None = N
     """(item, source, tokens, copies) of the documents that are in the mix, each at most ``max_repeats`` times.
 
     ``sized`` has the tokens of each document, ``solved`` the solution of :func:`balance`. Rates are rounded down or up by
-    the documents' hashes, against a threshold for each source at which its rounded tokens come closest to its target (of
-    ``parts`` thresholds). Sources without a weight, documents without tokens (null or blank text) and null sources
+    the documents' hashes: against a threshold for each source at which its rounded tokens come closest to its target (of ``parts``
+    thresholds): first the documents with more than a ``LONG``-th of the target, against one of their own, then the others. Sources without a weight, documents without tokens (null or blank text) and null sources
     aren't used; a source short of its target is used to the full. Ties and repeated texts are documents each.
     """
     solved = solved or balance(sized, weights, source, size)
@@ -122,18 +126,33 @@ def mix_sources(sized: DataFrame, weights: DataFrame, solved: Balance | None = N
     rows = sized.where(F.col(size) > 0).select(F.col(item).alias("item"), label(source).alias("key"), F.col(size).alias("t"), u.alias("u"))
     mixed = rows.join(F.broadcast(by), "key").withColumn("r", F.least(r, F.col("max_repeats"))).withColumn("low", F.floor("r"))
     # a document is rounded up where the rest of its rate exceeds its hash by more than the source's threshold
-    mixed = mixed.withColumn("bin", F.floor((F.col("r") - F.col("low") - F.col("u")) * (parts // 2)).cast("int"))
+    mixed = mixed.withColumn("bin", F.floor((F.col("r") - F.col("low") - F.col("u")) * (parts // 2)).cast("int")).withColumn("long", F.col("t") > F.col("target") / LONG)
     can = F.col("low") < F.col("max_repeats")
-    sums = mixed.groupBy("key", "target", "bin").agg(F.sum(F.col("low") * F.col("t")).alias("sure"), F.sum(F.when(can, F.col("t")).otherwise(0)).alias("more"))
-    down = Window.partitionBy("key").orderBy(F.desc("bin"))
-    reach = sums.withColumn("sum", F.sum("more").over(down)).withColumn("need", F.col("target") - F.sum("sure").over(Window.partitionBy("key")))
-    best = reach.groupBy("key").agg(F.min(F.struct(F.abs(F.col("sum") - F.col("need")).alias("off"), "bin")).alias("b"), F.max(F.abs("need")).alias("none"))
-    edge = best.select("key", F.when(F.col("none") < F.col("b.off"), F.lit(parts)).otherwise(F.col("b.bin")).alias("edge"))
-    copies = (F.col("low") + F.when(can & (F.col("bin") >= F.col("edge")), 1).otherwise(0)).cast("int")
+    sums = cut_lineage(
+        mixed.groupBy("key", "target", "long", "bin").agg(
+            F.sum(F.col("low") * F.col("t")).alias("sure"), F.sum((F.col("r") - F.col("low")) * F.col("t")).alias("rest"), F.sum(F.when(can, F.col("t")).otherwise(0)).alias("more")
+        )
+    )
+    # the long ones come as close to what their rates give as they can, the others make up for what is left
+    longs = closest(sums.where("long"), sums.where("long").groupBy("key").agg(F.sum("rest").alias("need")), parts)
+    needs = sums.groupBy("key", "target").agg(F.sum("sure").alias("sure")).join(longs.select("key", F.col("reached").alias("by_long")), "key", "left")
+    others = closest(sums.where("not long"), needs.select("key", (F.col("target") - F.col("sure") - F.coalesce("by_long", F.lit(0))).alias("need")), parts)
+    names = longs.select("key", F.col("edge").alias("long_edge")).join(others.select("key", "edge"), "key", "full")
+    edge = names.select("key", F.coalesce("long_edge", F.lit(parts)).alias("long_edge"), F.coalesce("edge", F.lit(parts)).alias("edge"))
+    copies = (F.col("low") + F.when(can & (F.col("bin") >= F.when(F.col("long"), F.col("long_edge")).otherwise(F.col("edge"))), 1).otherwise(0)).cast("int")
     out = mixed.join(F.broadcast(edge), "key").withColumn("copies", copies).where("copies > 0")
     return out.select(F.col("item").alias(item), F.col("name").alias("source"), F.col("t").alias("tokens"), "copies")
 
 
+def closest(sums: DataFrame, needs: DataFrame, parts: int) -> DataFrame:
+    """(key, edge, reached): the threshold from which on the tokens ``more`` of the bins of ``sums`` come closest to what each key needs; ``parts`` where none is closer."""
+    down = Window.partitionBy("key").orderBy(F.desc("bin"))
+    reach = sums.groupBy("key", "bin").agg(F.sum("more").alias("more")).withColumn("sum", F.sum("more").over(down)).join(needs, "key")
+    best = reach.groupBy("key").agg(F.min(F.struct(F.abs(F.col("sum") - F.col("need")).alias("off"), "bin", "sum")).alias("b"), F.max(F.abs("need")).alias("none"))
+    nothing = F.col("none") <= F.col("b.off")
+    return best.select("key", F.when(nothing, F.lit(parts)).otherwise(F.col("b.bin")).alias("edge"), F.when(nothing, F.lit(0)).otherwise(F.col("b.sum")).alias("reached"))
+
+
 def mix_report(weights: DataFrame, solved: Balance, mixed: DataFrame) -> DataFrame:
     """(source, target_tokens, most_tokens, max_repeats, mixed_tokens, target_share, mixed_share, multiplier, short) of each source of ``weights``.
 
