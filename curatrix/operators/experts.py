@@ -15,6 +15,35 @@ def saliency(facts: DataFrame, layer: str = "layer", expert: str = "expert", gat
     return full.withColumn("gate_norm_mean", F.col("gate_norm_sum") / F.greatest(F.lit(1), F.col("count")))
 
 
+def weighted_saliency(facts: DataFrame, weight: str = "weight", layer: str = "layer", expert: str = "expert", gate: str = "gate", norm: str = "norm") -> DataFrame:
+    """(layer, expert, weighted_sum, positive_sum, negative_sum, positive_count, negative_count): sums of gate times norm, each times the token's weight, in all and by the weight's sign."""
+    mass, w = F.col(gate) * F.col(norm), F.coalesce(F.col(weight), F.lit(0.0))
+    part = lambda test, x: F.sum(F.when(test, x).otherwise(0.0))
+    return facts.groupBy(layer, expert).agg(
+        F.sum(w * mass).alias("weighted_sum"), part(w > 0, w * mass).alias("positive_sum"), part(w < 0, -w * mass).alias("negative_sum"), F.count_if(w > 0).alias("positive_count"), F.count_if(w < 0).alias("negative_count")
+    )
+
+
+def usage(facts: DataFrame, token: str, prob: str, layer: str = "layer", expert: str = "expert", bins: int = 200) -> tuple[DataFrame, DataFrame]:
+    """((layer, tokens, selections, prob_mean, top1_mean, top2_mean), (layer, bin, n)) of the probabilities with which experts are chosen; the histogram spans 0 to 1."""
+    from curatrix.operators.scoring import histogram
+
+    per = facts.groupBy(layer, token).agg(F.count(F.lit(1)).alias("k"), F.sum(prob).alias("s"), F.sort_array(F.collect_list(prob), asc=False).alias("p"))  # few experts a token
+    means = per.groupBy(layer).agg(
+        F.count(F.lit(1)).alias("tokens"), F.sum("k").alias("selections"), (F.sum("s") / F.sum("k")).alias("prob_mean"), F.avg(F.get("p", F.lit(0))).alias("top1_mean"), F.avg(F.get("p", F.lit(1))).alias("top2_mean")
+    )
+    return means, histogram(facts, (layer,), prob, 0.0, 1.0, bins)
+
+
+def domain_mass(tables: dict[str, tuple[DataFrame, float]], mass: str = "gate_norm_sum", layer: str = "layer", expert: str = "expert") -> DataFrame:
+    """(layer, expert, mass): the weighted masses of several domains' tables; where a domain has no row, it adds nothing."""
+    parts = [t.select(layer, expert, (F.col(mass) * float(w)).alias("m")) for t, w in tables.values()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.groupBy(layer, expert).agg(F.sum("m").alias("mass"))
+
+
 def ranking(sal: DataFrame, mass: str = "gate_norm_sum", layer: str = "layer", expert: str = "expert") -> DataFrame:
     """``sal`` with ``rank`` in its layer by mass."""
     return sal.withColumn("rank", F.row_number().over(Window.partitionBy(layer).orderBy(F.desc(mass), expert)))

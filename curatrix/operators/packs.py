@@ -78,13 +78,21 @@ def blocks(df: DataFrame, tokens: str, seq_len: int, *order: str, dialect: str =
     return out.withColumn("scored_from", F.lit(0 if dialect == "profiler" else 1))
 
 
-def read_runs(spark: SparkSession, *paths: str) -> DataFrame:
-    """(model_id, pack, seq_len, ppl, cc_rate, mean_prob) of run files; of repeated (model, pack, seq_len) the first file counts."""
-    kind = "meta struct<model_id:string>, packs array<struct<pack:string, seq:map<string, struct<model:struct<ppl:double,cc_rate:double,mean_prob:double>>>>>"
+def read_runs(spark: SparkSession, *paths: str, same: bool = False) -> DataFrame:
+    """(model_id, pack, seq_len, ppl, cc_rate, mean_prob) of run files; of repeated (model, pack, seq_len) the first file counts.
+
+    With ``same``, the files must be of one model and agree in the numbers of top tokens, where both name them.
+    """
+    kind = "meta struct<model_id:string, model_path:string, top_k:int, entropy_topk:int>, packs array<struct<pack:string, seq:map<string, struct<model:struct<ppl:double,cc_rate:double,mean_prob:double>>>>>"
     out = None
     for i, p in enumerate(paths):
         r = spark.read.schema(kind).option("multiLine", "true").json(p).withColumn("file", F.lit(i))
         out = r if out is None else out.unionByName(r)
+    if same:
+        facts = ("model_id", "model_path", "top_k", "entropy_topk")
+        counts = out.agg(*[F.count_distinct(F.nullif(F.col(f"meta.{f}").cast("string"), F.lit(""))).alias(f) for f in facts]).first()
+        if odd := [f for f in facts if counts[f] > 1]:
+            raise ValueError(f"runs differ in {', '.join(odd)}")
     flat = out.select("file", "meta.model_id", F.explode("packs").alias("p")).select("file", "model_id", "p.pack", F.explode("p.seq").alias("seq_len", "m")).select("file", "model_id", "pack", F.col("seq_len").cast("int").alias("seq_len"), "m.model.*")
     w = Window.partitionBy("model_id", "pack", "seq_len").orderBy("file")
     return flat.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r", "file")

@@ -79,6 +79,13 @@ def json_fields(df: DataFrame, text: str) -> DataFrame:
     return each.groupBy("field", kind(F.col("value")).alias("type")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def message_fields(df: DataFrame, text: str) -> DataFrame:
+    """(role, field, type, n) of the messages in JSON lists of messages; other texts have none."""
+    listed = F.expr(f"try_variant_get(try_parse_json({text}), '$', 'array<map<string, variant>>')")
+    each = df.select(F.explode(listed).alias("m")).select(F.expr("try_variant_get(m['role'], '$', 'string')").alias("role"), F.explode("m").alias("field", "value"))
+    return each.groupBy("role", "field", F.regexp_extract(F.schema_of_variant("value"), r"^[A-Z]+", 0).alias("type")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def field_profile(df: DataFrame, *fields: str) -> DataFrame:
     """(field, present, missing, least_length, mean_length, most_length) of text fields."""
     rows = df.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("v")) for f in fields])).alias("x")).select("x.*")

@@ -80,6 +80,19 @@ def borrow(quota: dict[str, int], supply: dict[str, int], order: tuple[str, ...]
     return out
 
 
+def donate(quota: dict[str, int], supply: dict[str, int]) -> dict[str, int]:
+    """Quotas within the supply; what some lack goes to those with the most to spare, then by name. An error if all have too little."""
+    out = {k: min(v, supply.get(k, 0)) for k, v in quota.items()}
+    lack = sum(quota.values()) - sum(out.values())
+    spare = {k: supply.get(k, 0) - v for k, v in out.items()}
+    for k in sorted(spare, key=lambda k: (-spare[k], k)):
+        more = min(spare[k], lack)
+        out[k], lack = out[k] + more, lack - more
+    if lack:
+        raise ValueError(f"{lack} more wanted than there are")
+    return out
+
+
 def quota_top(df: DataFrame, group: str, quota: dict[str, int], score: str, tie: str) -> DataFrame:
     """The best rows of each group up to its quota, with their ``rank``."""
     limits = F.create_map(*[x for k, v in quota.items() for x in (F.lit(k), F.lit(v))]) if quota else None

@@ -12,6 +12,7 @@ from curatrix.operators import curation as C
 from curatrix.operators import experts as E
 from curatrix.operators import geometry as G
 from curatrix.operators import grammar as H
+from curatrix.operators import packs as K
 from curatrix.operators import profile as P
 from curatrix.operators import scoring as S
 from curatrix.operators import selection as L
@@ -192,7 +193,7 @@ def tool_outputs(spark, root):
     return norm(spark, root).select("id", "ingested_at", T.output_roles_udf("text").alias("tools"), T.output_keysets_udf("text").alias("keysets"))
 
 
-@query(f"""WITH {MSG}, {WHOLE}, {EVENTS} SELECT v.id, v.ingested_at, coalesce(bool_and({STRIP.format('c')} = '' OR NOT regexp_matches({STRIP.format('c')}, '^[\[' || chr(123) || ']') OR json_valid(c)), true) AS ok FROM v LEFT JOIN ev ON v.id = ev.id AND v.ingested_at = ev.ingested_at AND ev.output GROUP BY ALL""")
+@query(rf"""WITH {MSG}, {WHOLE}, {EVENTS} SELECT v.id, v.ingested_at, coalesce(bool_and({STRIP.format('c')} = '' OR NOT regexp_matches({STRIP.format('c')}, '^[\[' || chr(123) || ']') OR json_valid(c)), true) AS ok FROM v LEFT JOIN ev ON v.id = ev.id AND v.ingested_at = ev.ingested_at AND ev.output GROUP BY ALL""")
 def tool_payloads(spark, root):
     """Whether the payloads of tools are fine JSON."""
     return norm(spark, root).select("id", "ingested_at", T.tool_payloads_ok_udf("text").alias("ok"))
@@ -357,6 +358,38 @@ def block_packing(spark, root):
     return C.block_pieces(d, "t", 2048, "doc_id").select("doc_id", "block", "first", "length")
 
 
+def blocks_sql(block: int, sizes: str) -> str:
+    """The pieces of documents laid end to end in blocks."""
+    return f"""t AS (SELECT doc_id, {sizes} + 1 AS n FROM documents), o AS (SELECT doc_id, n, coalesce(sum(n) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS o FROM t),
+b AS (SELECT *, unnest(range(o // {block}, (o + n - 1) // {block} + 1)) AS block FROM o), p AS (SELECT doc_id, block, greatest(o, block * {block}) - o AS first, least(o + n, (block + 1) * {block}) - greatest(o, block * {block}) AS length FROM b)"""
+
+
+QUARTER = "greatest(coalesce(n_chars, 0), 0) // 4"
+FULL = "SELECT doc_id, block, first, length, 1 AS scored_from FROM p WHERE block IN (SELECT block FROM p GROUP BY 1 HAVING sum(length) = {0})"
+
+
+def quartered(spark, root):
+    return read_table(spark, root, "documents").select("doc_id", F.floor(F.greatest(F.coalesce("n_chars", F.lit(0)), F.lit(0)) / 4).alias("t"))
+
+
+@query(f"WITH {blocks_sql(512, QUARTER)} {FULL.format(512)}")
+def blocks_collector(spark, root):
+    """Whole blocks of 512 tokens, the first of which isn't scored."""
+    return K.blocks(quartered(spark, root), "t", 512, "doc_id").select("doc_id", "block", "first", "length", "scored_from")
+
+
+@query(f"WITH {blocks_sql(513, QUARTER)} {FULL.format(513)}")
+def blocks_parity(spark, root):
+    """Whole blocks of one token more."""
+    return K.blocks(quartered(spark, root), "t", 512, "doc_id", dialect="parity").select("doc_id", "block", "first", "length", "scored_from")
+
+
+@query(f"WITH {blocks_sql(512, f'least({QUARTER}, 300)')} SELECT doc_id, block, first, length, 0 AS scored_from FROM p")
+def blocks_profiler(spark, root):
+    """Rows cut at 300 tokens, the short last block too."""
+    return K.blocks(quartered(spark, root), "t", 512, "doc_id", dialect="profiler", row_most=300).select("doc_id", "block", "first", "length", "scored_from")
+
+
 @query("""WITH d AS (SELECT doc_id, source, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM documents), p AS (SELECT unnest(range(200)) AS k)
 SELECT doc_id, source FROM d WHERE i IN (SELECT (k * (SELECT count(*) FROM documents)) // 200 FROM p)""")
 def strided_sample(spark, root):
@@ -642,6 +675,21 @@ def js_divergence_pair(spark, root):
     return js_table(spark, root).select("pack", r6("js").alias("js"))
 
 
+def js_dialect_sql(dialect: str) -> str:
+    x, y = {"clip": ("greatest(p, 1e-12)", "greatest(q, 1e-12)"), "add": ("(p + 1e-12)", "(q + 1e-12)"), "clip_mean": ("greatest(p, 1e-12)", "greatest(q, 1e-12)")}[dialect]
+    m = "greatest((p + q) / 2, 1e-12)" if dialect == "clip" else f"(({x} + {y}) / 2)"
+    return f"SELECT pack, '{dialect}' AS dialect, round(sum({x} * ln({x} / {m}) + {y} * ln({y} / {m})) / 2, 6) AS js FROM v GROUP BY 1"
+
+
+@query(f"WITH {FACTS}, {JS} {' UNION ALL '.join(map(js_dialect_sql, ('clip', 'clip_mean', 'add')))}")
+def js_dialects(spark, root):
+    """The same divergence as three other programs write it."""
+    h = S.histogram(facts(spark, root), ("pack", "model"), "h", 0.0, 1.0, 40)
+    one = lambda m: h.where(F.col("model") == m).drop("model")
+    out = [S.js_divergence(one("m0"), one("m1"), ("pack",), ("bin",), d).select("pack", F.lit(d).alias("dialect"), r6("js").alias("js")) for d in ("clip", "clip_mean", "add")]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 RUNS = f"{FACTS}, {CUTS}, r AS (SELECT pack, model, 1024 AS seq_len, exp(-avg(logprob)) AS ppl, avg((p <= tp AND h <= th)::INT) AS cc_rate, avg(p) AS mean_prob FROM f JOIN t USING (pack, model) GROUP BY 1, 2)"
 
 
@@ -771,6 +819,31 @@ def expert_saliency(spark, root):
     return s.select("layer", "expert", "count", F.round("gate_sum", 4).alias("gate_sum"), F.round("gate_norm_sum", 4).alias("gate_norm_sum"), r6("gate_norm_mean").alias("gate_norm_mean"))
 
 
+@query(f"WITH {ROUTER}, g AS (SELECT layer, expert, gate * norm AS x, (token % 5 - 2) / 2.0 AS w FROM f) SELECT layer, expert, round(sum(w * x), 4) AS weighted_sum, round(sum(greatest(w, 0) * x), 4) AS positive_sum, round(sum(greatest(-w, 0) * x), 4) AS negative_sum, count(*) FILTER (WHERE w > 0) AS positive_count, count(*) FILTER (WHERE w < 0) AS negative_count FROM g GROUP BY 1, 2")
+def signed_saliency(spark, root):
+    """Saliency weighted by token, by the weight's sign."""
+    w = E.weighted_saliency(router(spark, root).withColumn("weight", (F.pmod("token", F.lit(5)) - 2) / 2.0))
+    return w.select("layer", "expert", *[F.round(c, 4).alias(c) for c in ("weighted_sum", "positive_sum", "negative_sum")], "positive_count", "negative_count")
+
+
+USED = f"{ROUTER}, u AS (SELECT token % 7 AS layer, token, gate AS p, row_number() OVER (PARTITION BY token % 7, token ORDER BY gate DESC) AS r FROM f)"
+
+
+@query(f"WITH {USED} SELECT layer, count(DISTINCT token) AS tokens, count(*) AS selections, round(avg(p), 6) AS prob_mean, round(avg(p) FILTER (WHERE r = 1), 6) AS top1_mean, round(avg(p) FILTER (WHERE r = 2), 6) AS top2_mean FROM u GROUP BY 1")
+def expert_usage(spark, root):
+    """How sure the router is."""
+    means, _ = E.usage(router(spark, root).withColumn("layer", F.pmod("token", F.lit(7))), "token", "gate")
+    return means.select("layer", "tokens", "selections", *[r6(c).alias(c) for c in ("prob_mean", "top1_mean", "top2_mean")])
+
+
+@query(f"WITH {ROUTER}, d AS (SELECT token % 2 AS d, layer, expert, sum(gate * norm) AS m FROM f WHERE token % 2 = 0 OR expert < 9 GROUP BY ALL) SELECT layer, expert, round(sum(CASE d WHEN 0 THEN 0.25 ELSE 2.0 END * m), 4) AS mass FROM d GROUP BY 1, 2")
+def domain_mass_union(spark, root):
+    """Masses of two domains, one of which lacks some experts."""
+    f = router(spark, root).where("token % 2 = 0 or expert < 9")
+    part = lambda d: E.saliency(f.where(F.pmod("token", F.lit(2)) == d)).where("count > 0")
+    return E.domain_mass({"a": (part(0), 0.25), "b": (part(1), 2.0)}).select("layer", "expert", F.round("mass", 4).alias("mass"))
+
+
 @query(f"WITH {SAL} SELECT layer, expert, rank FROM k")
 def expert_ranking(spark, root):
     """Experts by mass."""
@@ -843,6 +916,13 @@ def json_field_types(spark, root):
     return P.json_fields(read_table(spark, root, "events"), "props")
 
 
+@query("""WITH j AS (SELECT CASE WHEN json_valid(text) AND json_type(text) = 'ARRAY' THEN text::JSON END AS j FROM documents), m AS (SELECT unnest(json_extract(j, '$[*]')) AS m FROM j WHERE j IS NOT NULL), k AS (SELECT m, unnest(json_keys(m)) AS field FROM m WHERE json_type(m) = 'OBJECT')
+SELECT json_extract_string(m, '$.role') AS role, field, CASE json_type(m, '$.' || field) WHEN 'VARCHAR' THEN 'STRING' WHEN 'NULL' THEN 'VOID' WHEN 'UBIGINT' THEN 'BIGINT' ELSE json_type(m, '$.' || field) END AS type, count(*) AS n FROM k GROUP BY ALL""")
+def message_fields(spark, root):
+    """Fields of messages in lists of JSON, by role and type."""
+    return P.message_fields(read_table(spark, root, "documents"), "text")
+
+
 @query("""WITH b AS (SELECT doc_id, CASE WHEN n_chars IS NULL THEN NULL ELSE n_chars * doc_id END AS n FROM documents)
 SELECT doc_id, CASE WHEN coalesce(n, 0) = 0 THEN 'n/a' WHEN n < 1024 THEN format('{:.2f} B', n::DOUBLE) WHEN n < 1048576 THEN format('{:.2f} KB', n / 1024.0) WHEN n < 1073741824 THEN format('{:.2f} MB', n / 1048576.0) ELSE format('{:.2f} GB', n / 1073741824.0) END AS size FROM b""")
 def readable_sizes(spark, root):

@@ -40,6 +40,21 @@ def split_of(name: Column) -> Column:
     )
 
 
+def files_of_shard(paths: list[str], index: int, count: int) -> list[str]:
+    """The files of shard ``index`` of ``count``: every ``count``-th of the sorted paths."""
+    if not 0 <= index < count:
+        raise ValueError("index must be below count")
+    return sorted(paths)[index::count]
+
+
+def one_kind(names: list[str]) -> list[str]:
+    """``names``, if all are Parquet or all JSON lines (compressed or not); else an error."""
+    kinds = {"parquet" if n.endswith(".parquet") else "jsonl" if n.endswith((".jsonl", ".jsonl.gz", ".jsonl.zst")) else n for n in names}
+    if len(kinds) > 1:
+        raise ValueError(f"files of different kinds: {', '.join(sorted(kinds))}")
+    return names
+
+
 def ids_file(spark: SparkSession, path: str) -> DataFrame:
     """(id): the lines that aren't blank, stripped."""
     return spark.read.text(path).select(strip("value").alias("id")).where("id <> ''")

@@ -123,6 +123,20 @@ def test_allocation():
     assert L.borrow({"math": 5, "proof": 5}, {"math": 9, "proof": 2}) == {"math": 8, "proof": 2}
 
 
+def test_donors():
+    assert L.donate({"a": 5, "b": 5, "c": 1}, {"a": 2, "b": 9, "c": 9}) == {"a": 2, "b": 5, "c": 4} and L.donate({"a": 1}, {"a": 1}) == {"a": 1}
+    with pytest.raises(ValueError, match="3 more"):
+        L.donate({"a": 5}, {"a": 2})
+
+
+def test_files_and_kinds():
+    from curatrix.sources import readers as R
+
+    assert R.files_of_shard(["c", "a", "b", "d", "e"], 1, 2) == ["b", "d"] and R.one_kind(["x.jsonl", "y.jsonl.gz"]) == ["x.jsonl", "y.jsonl.gz"]
+    with pytest.raises(ValueError, match="different kinds"):
+        R.one_kind(["x.jsonl", "y.parquet"])
+
+
 def test_lsh_keys(spark):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((20, 8)).astype(np.float32)
