@@ -5,8 +5,6 @@ All weights are similarities, so trees are greatest ones and a hierarchy is read
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -64,7 +62,7 @@ def find(parent: np.ndarray, i: int) -> int:
 
 def order(s: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Edges from the best down, equal ones as in :func:`boruvka_round`."""
-    return np.lexsort((-v.astype(object), -u.astype(object), -s)) if len(s) < 2 else np.lexsort((v, u, s))[::-1]
+    return np.lexsort((v, u, s))[::-1]
 
 
 def kruskal(table: pa.Table) -> pa.Table:
@@ -97,7 +95,7 @@ def spanning_tree(edges: DataFrame, rest: int = REST, least_rounds: int = 1) ->
         now = cut_lineage(contract(now, moved))
         tree = taken if tree is None else tree.unionByName(taken)
         rounds += 1
-    last = now.groupBy(F.lit("").alias("all")).applyInArrow(kruskal, "u long, v long, s double")
+    last = cut_lineage(now.groupBy(F.lit("").alias("all")).applyInArrow(kruskal, "u long, v long, s double"))
     return last if tree is None else tree.unionByName(last)
 
 
@@ -147,7 +145,7 @@ class Forest:
                 self.ended.append((c, p, level, *self.mass.pop(c)))
 
 
-def run_band(forest: Forest, a: np.ndarray, b: np.ndarray, s: np.ndarray, u: np.ndarray, v: np.ndarray, start: Iterable[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+def run_band(forest: Forest, a: np.ndarray, b: np.ndarray, s: np.ndarray, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Takes the edges of a band into the forest; (component, root) of all that the band touched."""
     names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
     a, b = at[: len(a)].tolist(), at[len(a) :].tolist()
@@ -219,7 +217,7 @@ def condense(tree: DataFrame, least: int, floor: float, band: int = BAND) -> tup
                     forest.small[a] = np.frombuffer(r, np.int64).tolist()
                 else:
                     forest.large[a], forest.mass[b] = b, [y, n]
-            return handed(forest, *run_band(forest, *(new.column(c).to_numpy() for c in ("a", "b", "x", "u", "v")), ()))
+            return handed(forest, *run_band(forest, *(new.column(c).to_numpy() for c in ("a", "b", "x", "u", "v"))))
 
         out = cut_lineage(rows.groupBy(F.lit("").alias("all")).applyInArrow(work, HANDED))
         joined, ended = joined.unionByName(out.where("kind = 0")), ended.unionByName(out.where("kind = 1"))
