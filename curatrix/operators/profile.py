@@ -15,36 +15,38 @@ def value_counts(df: DataFrame, column: str, top: int | None = None) -> DataFram
 
 
 def places(df: DataFrame, column: str, *keys: str) -> DataFrame:
-    """(*keys, value, n, before, all): how often each value occurs, how many of its group's are smaller, and how many there are.
+    """(__k0, __k1, ... for the keys, __value, __n, __before, __all): how often each value occurs, how many of its group's are smaller, and how many there are.
 
-    Values are counted, and the counts are summed up along range partitions, so no task holds a group. Nulls don't count.
+    Values are counted, and the counts are summed up along range partitions, so no task holds a group. Nulls don't count;
+    null keys are keys like any others.
     """
     from curatrix.operators.curation import running_offsets
 
-    key = list(keys) or ["__all"]
-    rows = df.where(F.col(column).isNotNull()).select(*keys, F.col(column).alias("value"))
-    per = (rows if keys else rows.withColumn("__all", F.lit(0))).groupBy(*key, "value").agg(F.count(F.lit(1)).alias("n"))
-    at = running_offsets(per, "n", *key, "value")
-    groups = at.groupBy(*key).agg(F.min("offset").alias("__from"), F.sum("n").alias("all")).select(*[F.col(k).alias(f"__g{i}") for i, k in enumerate(key)], "__from", "all")
+    own = [F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)] or [F.lit(0).alias("__k0")]
+    key = [f"__k{i}" for i in range(len(own))]
+    per = df.where(F.col(column).isNotNull()).select(*own, F.col(column).alias("__value")).groupBy(*key, "__value").agg(F.count(F.lit(1)).alias("__n"))
+    at = running_offsets(per, "__n", *key, "__value")
+    groups = at.groupBy(*key).agg(F.min("offset").alias("__from"), F.sum("__n").alias("__all")).select(*[F.col(k).alias(f"{k}_") for k in key], "__from", "__all")
     on = F.lit(True)
-    for i, k in enumerate(key):
-        on = on & F.col(k).eqNullSafe(F.col(f"__g{i}"))
-    return at.join(groups, on).select(*keys, "value", "n", (F.col("offset") - F.col("__from")).alias("before"), "all")
+    for k in key:
+        on = on & F.col(k).eqNullSafe(F.col(f"{k}_"))
+    return at.join(groups, on).select(*key, "__value", "__n", (F.col("offset") - F.col("__from")).alias("__before"), "__all")
 
 
 def quantiles(df: DataFrame, column: str, shares: dict[str, float], *keys: str) -> DataFrame:
     """(*keys, one column for each of ``shares``): exact quantiles, interpolated between neighbours; a group without values has none."""
     at = places(df, column, *keys)
-    holds = lambda place: (F.col("before") <= place) & (place < F.col("before") + F.col("n"))
+    key = [f"__k{i}" for i in range(len(keys))]
+    holds = lambda place: (F.col("__before") <= place) & (place < F.col("__before") + F.col("__n"))
     ends = []
     for name, q in shares.items():
-        place = F.lit(float(q)) * (F.col("all") - 1)
+        place = F.lit(float(q)) * (F.col("__all") - 1)
         for side, k in (("low", F.floor(place)), ("high", F.ceil(place))):
-            ends.append(F.max(F.when(holds(k), F.col("value").cast("double"))).alias(f"__{side}_{name}"))
-    got = at.groupBy(*keys).agg(*ends, F.max("all").alias("__n"))
+            ends.append(F.max(F.when(holds(k), F.col("__value").cast("double"))).alias(f"__{side}_{name}"))
+    got = at.groupBy(*key).agg(*ends, F.max("__all").alias("__n"))
     part = lambda q: F.lit(float(q)) * (F.col("__n") - 1) - F.floor(F.lit(float(q)) * (F.col("__n") - 1))
     between = [(F.col(f"__low_{n}") + part(q) * (F.col(f"__high_{n}") - F.col(f"__low_{n}"))).alias(n) for n, q in shares.items()]
-    return got.where("__n is not null").select(*keys, *between)
+    return got.where("__n is not null").select(*[F.col(k).alias(name) for k, name in zip(key, keys)], *between)
 
 
 def column_quantiles(df: DataFrame, columns: tuple[str, ...], shares: dict[str, float], *keys: str) -> DataFrame:
@@ -58,17 +60,25 @@ def nearest_rank(df: DataFrame, column: str, quantiles: tuple[float, ...], *keys
 
     Values are counted first, so only distinct values are sorted; see :func:`places`.
     """
-    q = places(df, column, *keys).withColumn("q", F.explode(F.array(*[F.lit(float(x)) for x in quantiles])))
-    return q.withColumn("place", F.bround(F.col("q") * (F.col("all") - 1), 0)).where((F.col("place") >= F.col("before")) & (F.col("place") < F.col("before") + F.col("n"))).select(*keys, "q", "value")
+    q = places(df, column, *keys).withColumn("__q", F.explode(F.array(*[F.lit(float(x)) for x in quantiles])))
+    place = F.bround(F.col("__q") * (F.col("__all") - 1), 0)
+    here = q.where((place >= F.col("__before")) & (place < F.col("__before") + F.col("__n")))
+    return here.select(*[F.col(f"__k{i}").alias(name) for i, name in enumerate(keys)], F.col("__q").alias("q"), F.col("__value").alias("value"))
 
 
 def numeric_summary(df: DataFrame, column: str, *keys: str) -> DataFrame:
     """(*keys, n, least, mean, median, p95, most): the median between neighbours, p95 at the nearest rank; null where no value is."""
-    key = list(keys) or ["__all"]
-    rows = df if keys else df.withColumn("__all", F.lit(0))
-    plain = rows.groupBy(*key).agg(F.count(column).alias("n"), F.min(column).alias("least"), F.avg(column).alias("mean"), F.max(column).alias("most"))
-    out = plain.join(quantiles(rows, column, {"median": 0.5}, *key), key, "left").join(nearest_rank(rows, column, (0.95,), *key).select(*key, F.col("value").alias("p95")), key, "left")
-    return out.select(*keys, "n", "least", "mean", "median", "p95", "most")
+    key = [f"__s{i}" for i in range(max(1, len(keys)))]
+    rows = df.select(*([F.col(k).alias(n) for k, n in zip(keys, key)] or [F.lit(0).alias("__s0")]), F.col(column).alias("__v"))
+    out = rows.groupBy(*key).agg(F.count("__v").alias("n"), F.min("__v").alias("least"), F.avg("__v").alias("mean"), F.max("__v").alias("most"))
+    for more in (quantiles(rows, "__v", {"median": 0.5}, *key), nearest_rank(rows, "__v", (0.95,), *key).select(*key, F.col("value").alias("p95"))):
+        names = [c for c in more.columns if c not in key]
+        other = more.select(*[F.col(k).alias(f"{k}_") for k in key], *names)
+        same = F.lit(True)
+        for k in key:
+            same = same & F.col(k).eqNullSafe(F.col(f"{k}_"))
+        out = out.join(other, same, "left").drop(*[f"{k}_" for k in key])
+    return out.select(*[F.col(n).alias(k) for k, n in zip(keys, key)], "n", "least", "mean", "median", "p95", "most")
 
 
 def json_fields(df: DataFrame, text: str) -> DataFrame:

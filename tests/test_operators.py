@@ -221,7 +221,11 @@ def test_quantiles_without_gathering(spark):
     for g in ("a", "b", None):
         x = [v for k, v in rows if k == g]
         assert got[g] == pytest.approx((np.quantile(x, 0.15), np.quantile(x, 0.5)))
+    clash = df.selectExpr("g as value", "g as n", "v as before", "g as all", "1 as offset")
+    assert {(r.value, r.n): r.m for r in P.quantiles(clash, "before", {"m": 0.5}, "value", "n").collect()} == {(g, g): pytest.approx(m) for g, (_, m) in got.items()}
     assert "c" not in got and P.quantiles(df.limit(0), "v", {"m": 0.5}).count() == 0
+    by = {r.g: r for r in P.numeric_summary(df, "v", "g").collect()}
+    assert (by[None].n, by[None].median, by[None].p95) == (2, 4.5, 5.0) and (by["c"].n, by["c"].median, by["c"].p95) == (0, None, None)
     one = P.numeric_summary(df, "v").first()
     assert (one.n, one.most) == (502, 5.0) and one.median == pytest.approx(np.median([v for _, v in rows if v is not None]))
 
