@@ -484,7 +484,16 @@ def composite_keys(spark, root):
     return read_table(spark, root, "lineitem").select("l_orderkey", "l_linenumber", L.composite_key("l_linenumber", "l_orderkey", 32).alias("key"))
 
 
-@query()
+# The walk bucket by bucket, with what is picked so far in lists; no second walk is needed on these tables.
+@query(f"""WITH RECURSIVE {BUCKETS}, d AS (SELECT *, count(*) OVER (PARTITION BY bucket) AS bucket_count, row_number() OVER (PARTITION BY bucket, lang ORDER BY coalesce(n_chars, -1) DESC, doc_id) AS k FROM b),
+t AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY coalesce(n_chars, -1) DESC, doc_id) AS pick FROM d WHERE k = 1),
+o AS (SELECT *, dense_rank() OVER (ORDER BY bucket_count DESC, bucket) AS i FROM t WHERE pick <= 3),
+g AS (SELECT i, list(struct_pack(l := coalesce(lang, '~'), d := doc_id) ORDER BY pick) AS c FROM o GROUP BY i),
+w AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS ls, []::BIGINT[] AS ds, 0::BIGINT AS m
+  UNION ALL SELECT i, CASE WHEN p IS NOT NULL THEN list_append(ls, p.l) ELSE ls END, CASE WHEN p IS NOT NULL THEN list_append(ds, p.d) ELSE ds END, m + 1 FROM (
+    SELECT g.i AS i, ls, ds, m, CASE WHEN len(ds) < 20 THEN list_filter(g.c, lambda x: len(list_filter(ls, lambda y: y = x.l)) < 7)[1] END AS p FROM w JOIN g ON g.i = w.i + 1)),
+z AS (SELECT unnest(ds) AS doc_id FROM w WHERE i = (SELECT max(i) FROM g))
+SELECT bucket, lang, doc_id, coalesce(n_chars, -1)::DOUBLE AS score, pick::INT AS pick, bucket_count FROM o JOIN z USING (doc_id)""")
 def capped_cover_selection(spark, root):
     """Twenty buckets, no language over its cap."""
     best = L.bucket_top_distinct(bucketed(spark, root), "bucket", "lang", "n_chars", "doc_id")
